@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .exact_dedup import exact_dedup
+from .lm_scoring import lm_scores
 from .packing import pack_documents
 from .token_counts import token_counts
 from .topk import exact_topk
@@ -44,6 +45,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     remainder = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -74,6 +79,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_exact_topk": op1_exact_topk,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_lm_scoring": op4_lm_scoring,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_token_counts": op10_token_counts,
