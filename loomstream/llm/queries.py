@@ -12,6 +12,7 @@ from . import langid
 from .exact_dedup import exact_dedup
 from .lm_scoring import lm_scores
 from .packing import pack_documents
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .topk import exact_topk
 
@@ -49,6 +50,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_documents(spark, sf_dir), keep_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     remainder = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -80,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op1_exact_topk": op1_exact_topk,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_lm_scoring": op4_lm_scoring,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_token_counts": op10_token_counts,
