@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
 from .lm_scoring import lm_scores
 from .packing import pack_documents
 from .suffix_dedup import remove_repeats
@@ -50,6 +51,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_documents(spark, sf_dir), keep_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -86,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op1_exact_topk": op1_exact_topk,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_lm_scoring": op4_lm_scoring,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
