@@ -33,6 +33,22 @@ def select_as(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
 
 
+#: Rows up to this many of a few numbers each are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """docs' rows but those whose keys (by name in dropped) are among dropped; null equals null.  Only a short list of
+    dropped rows is broadcast, after it is counted; else both sides are shuffled with the list as the hashed side."""
+    dropped = dropped.select(*(F.col(k).alias(f"_drop_{k}") for k in keys))
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped.hint("shuffle_hash")
+    match = [c.eqNullSafe(F.col(f"_drop_{k}")) for k, c in keys.items()]
+    test = match[0]
+    for m in match[1:]:
+        test = test & m
+    return docs.join(dropped, test, "left_anti")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

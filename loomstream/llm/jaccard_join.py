@@ -188,7 +188,7 @@ class Region:
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, set_id.
+    """One row a row of docs: doc_id, n_shingles, component_id, set_id, text_hash (of the text as it is).
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space.  A text's set is its distinct `words`-word
     shingles, the whole sequence if it has fewer words.  Two documents link when the shared shingles are at least
@@ -198,7 +198,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     a component's id unless all its ids are null.  No rows give no rows; further columns of docs are ignored.
     Shingles and sets are compared by 64-bit hashes.
     """
-    rows = select_as(docs, doc_id=id_col, text=text_col)
+    rows = select_as(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
 
@@ -227,9 +227,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                         common = last[at] == s
                         s = np.concatenate([s[~common], s[common]])
                     heads.append(s[:head].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(heads, pa.binary())], ["doc_id", "n_shingles", "set_id", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2), pa.array(heads, pa.binary())], ["doc_id", "n_shingles", "set_id", "text_hash", "head"])
 
-    every = rows.mapInArrow(classes, f"doc_id {kind}, n_shingles long, set_id long, head binary")
+    every = rows.mapInArrow(classes, f"doc_id {kind}, n_shingles long, set_id long, text_hash long, head binary")
     # Of each class one row of heads goes on; groups of copies are aggregated before they are shuffled.
     per_class = every.where("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.max("head").alias("head"))
 
@@ -246,7 +246,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # The sets of all classes in regions, read from a document of each class.
     wanted = members.select(F.col("set_id").alias("wanted")).distinct()
-    narrow = checkpoint(every.select("doc_id", "n_shingles", "set_id"))
+    narrow = checkpoint(every.select("doc_id", "n_shingles", "set_id", "text_hash"))
     readers = narrow.where("n_shingles > 0").join(wanted, F.col("set_id") == F.col("wanted"), "left_semi").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("of")).select("set_id", F.col("of.doc_id").alias("reader"))
     texts = rows.join(readers.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(readers["reader"])).select("set_id", "text")
 
@@ -303,7 +303,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     links = regions.select("pivot", "i", "j", "own", "set_id", "shingles").mapInArrow(join, "a long, b long")
     component = connected_components(links)
-    named = narrow.join(component, narrow["set_id"] == component["node"], "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("component"))
+    named = narrow.join(component, narrow["set_id"] == component["node"], "left").select("doc_id", "n_shingles", "set_id", "text_hash", F.coalesce("component", "set_id").alias("component"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_id")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_id", "text_hash")

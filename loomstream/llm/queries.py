@@ -12,7 +12,9 @@ from . import langid
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .lm_scoring import lm_scores
+from .mixing import mix, mix_sql
 from .packing import pack_documents
+from .pii import pseudonymise
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .topk import exact_topk
@@ -43,6 +45,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(_documents(spark, sf_dir))
+    columns = [F.col(f"mix_{c}").alias(c) for c in ("source", "lang", "topic", "tokens")]
+    rounded = [F.round(f"mix_{c}", 9).alias(c) for c in ("weight", "probability")]
+    return found.select("doc_id", *columns, *rounded, F.col("mix_kept").alias("kept"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir))
 
@@ -60,6 +69,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_documents(spark, sf_dir), key="a key of the corpus's owner")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     remainder = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -89,10 +102,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_topk": op1_exact_topk,
+        "op2_mixing": op2_mixing,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_lm_scoring": op4_lm_scoring,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_pii": op7_pii,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_token_counts": op10_token_counts,
@@ -100,4 +115,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op2_mixing": mix_sql(), "op9_exact_dedup": OP9_SQL}
