@@ -56,7 +56,7 @@ of("stg_wallet_events", "events", lambda w: w.stg_wallet_events, "SELECT * FROM
 of("wallet_first_seen", "orders", lambda w: w.int_wallet_first_seen, "SELECT * FROM first_seen")
 of("wallet_daily_activity", "orders", lambda w: w.int_wallet_daily_activity, "SELECT wallet_address, activity_date, event_count, {r:gross_amount} AS gross_amount FROM daily", digits=2)
 of("wallet_activity_weeks", "orders", lambda w: w.int_wallet_activity_weeks, "SELECT * FROM weeks")
-of("wallet_gap_days", "orders", lambda w: wallets.gap_days(w.int_wallet_daily_activity).select("wallet_address", "activity_date", "gap_days"), "SELECT wallet_address, activity_date, gap_days FROM gaps")
+of("wallet_gap_days", "orders", lambda w: wallets.gap_days(w.int_wallet_daily_activity).select("wallet_address", "activity_date", F.col("gap_days").cast("double").alias("gap_days")), "SELECT wallet_address, activity_date, CAST(gap_days AS DOUBLE) AS gap_days FROM gaps")
 LIFE = "wallet_address, first_seen_at, first_seen_week, first_active_date, last_active_date, active_days, total_events, {r:total_amount} AS total_amount, {r:avg_days_between_active_days} AS avg_days_between_active_days"
 of("wallet_lifecycle", "orders", lambda w: w.int_wallet_lifecycle, f"SELECT {LIFE} FROM life", digits=2)
 of("wallet_funnel_flags", "orders", lambda w: w.int_wallet_funnel_flags, "SELECT * FROM flags")
@@ -263,7 +263,7 @@ of("join_left_semi", "orders", lambda w: w.stg_wallet_events.join(reconcile.samp
 of("union_distinct", "events", lambda w: w.stg_transfers.select(F.col("from_address").alias("w")).union(w.stg_transfers.select("to_address")).distinct(), "SELECT from_address AS w FROM stg UNION SELECT to_address FROM stg")
 of("topk_wallets", "orders", lambda w: w.int_wallet_lifecycle.select("wallet_address", "total_events").orderBy(F.desc("total_events"), "wallet_address").limit(25), "SELECT wallet_address, total_events FROM life ORDER BY total_events DESC, wallet_address LIMIT 25")
 of("unpivot_metrics", "events", lambda w: marts.unpivot_metrics(w.mart_daily_metrics), "SELECT metric_name, activity_date, {r:metric_value} AS metric_value FROM long")
-of("pivot_segments", "orders", lambda w: w.mart_wallet_segments.groupBy("frequency_segment").pivot("volume_segment", ["high_volume", "standard_volume"]).agg(F.count(F.lit(1))), "SELECT frequency_segment, nullif(count(*) FILTER (volume_segment = 'high_volume'), 0) AS high_volume, nullif(count(*) FILTER (volume_segment = 'standard_volume'), 0) AS standard_volume FROM segments GROUP BY 1")
+of("pivot_segments", "orders", lambda w: w.mart_wallet_segments.groupBy("frequency_segment").pivot("volume_segment", ["high_volume", "standard_volume"]).agg(F.count(F.lit(1))).na.fill(0), "SELECT frequency_segment, count(*) FILTER (volume_segment = 'high_volume') AS high_volume, count(*) FILTER (volume_segment = 'standard_volume') AS standard_volume FROM segments GROUP BY 1")
 of("listagg_sources", "events", lambda w: w.stg_transfers.select(F.when(F.col("is_self_transfer"), "self").otherwise("between").alias("k")).agg(F.listagg_distinct("k", F.lit(", ")).alias("kinds")).select(F.array_join(F.array_sort(F.split("kinds", ", ")), ", ").alias("kinds")), "SELECT string_agg(DISTINCT k, ', ' ORDER BY k) AS kinds FROM (SELECT CASE WHEN is_self_transfer THEN 'self' ELSE 'between' END AS k FROM stg)")
 of("global_rank", "orders", lambda w: with_rank(w.int_wallet_lifecycle.select("wallet_address"), "wallet_address", "rank").select("wallet_address", "rank", "n"), "SELECT wallet_address, row_number() OVER (ORDER BY wallet_address) AS rank, count(*) OVER () AS n FROM life")
 of("having_repeats", "orders", lambda w: w.raw.groupBy("transaction_hash", "log_index").agg(F.count("*").alias("n")).where("n > 1"), "SELECT transaction_hash, log_index, count(*) AS n FROM raw GROUP BY 1, 2 HAVING count(*) > 1")
