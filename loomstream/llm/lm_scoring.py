@@ -2,9 +2,10 @@
 
 The PPM model reads bytes (A-Z lower-cased) as 64 symbols fixed in advance: frequent bytes have a symbol of their own,
 the rest share symbols, and a byte's probability is its symbol's times its share among the symbol's bytes.  The
-context trie holds symbol counts after each context of up to three symbols.  With 64 symbols it has at most 64**4
-leaves whatever the corpus, so each level is a dense array: counts of all training texts are gathered in full, and the
-finished table of log probabilities that tasks look up is 64 MiB at most.
+context trie holds symbol counts after contexts of up to ORDER symbols, all counted over all training texts.  Up to
+three symbols it is complete: with 64 symbols that is at most 64**4 leaves whatever the corpus, kept as dense arrays.
+Of each longer order the `leaves` most frequent ones are kept, those under a kept shorter one, in hash tables; so the
+model that tasks are sent has a bound that does not depend on the corpus.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from .common import ascii_lower, buffers, checkpoint, select_as, slices
 
 SYMBOLS = 64
 END = 63
+#: Symbols of the longest contexts, and of those that are complete.
+ORDER, DENSE = 5, 3
+#: Distinct keys that a training task holds before it sends their counts on.
+HELD_KEYS = 2_000_000
 
 
 def byte_symbols() -> np.ndarray:
@@ -45,31 +50,135 @@ SYMBOL_OF = byte_symbols()
 
 
 def positions(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, end offsets): for each byte and each text's end the four symbols up to it, three of them its context."""
+    """(keys, end offsets): for each byte and each text's end the symbols up to it, ORDER of them its context."""
     n = len(offsets) - 1
-    # Each text is led by three END symbols as its first context and closed by one.
-    at = np.arange(len(raw)) + np.repeat(np.arange(1, n + 1) * 4 - 1, np.diff(offsets))
-    sym = np.full(len(raw) + 4 * n, END, np.int32)
+    # Each text is led by END symbols as its first context and closed by one.
+    at = np.arange(len(raw)) + np.repeat(np.arange(1, n + 1) * (ORDER + 1) - 1, np.diff(offsets))
+    sym = np.full(len(raw) + (ORDER + 1) * n, END, np.int64)
     sym[at] = SYMBOL_OF[raw]
-    keys = np.zeros(len(sym), np.int32)
-    keys[3:] = sym[:-3] << 18 | sym[1:-2] << 12 | sym[2:-1] << 6 | sym[3:]
+    keys = np.zeros(len(sym), np.int64)
+    for k in range(ORDER + 1):
+        keys[ORDER:] |= sym[ORDER - k : len(sym) - k] << (6 * k)
     keep = np.ones(len(sym), bool)
-    begin = offsets[:-1] + 4 * np.arange(n)
-    for k in range(3):
+    begin = offsets[:-1] + (ORDER + 1) * np.arange(n)
+    for k in range(ORDER):
         keep[begin + k] = False
     return keys[keep], offsets + np.arange(n + 1)
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each key's last symbol after its context, PPM with method C escapes and symbol exclusion.
+class Lookup:
+    """Values of non-negative keys by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.mask = (1 << max(4, (2 * len(keys)).bit_length())) - 1
+        self.shift = np.uint64(64 - self.mask.bit_length())
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.place = np.zeros(self.mask + 1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # of keys that meet in a free slot the last written one has it, the others go on
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.place[slot] = np.arange(len(keys))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it is not held."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.place[slot], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            found = there == keys[left]
+            out[left[found]] = self.place[slot[left[found]]]
+            left = left[~found & (there >= 0)]
+        return out
+
+
+class Trie:
+    """PPM with method C escapes and symbol exclusion: a symbol is looked for after ever shorter contexts; what a
+    longer context holds is left out of the counts of a shorter one."""
+
+    def __init__(self, leaves: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """leaves: (keys, counts) by order from DENSE up; keys of an order are sorted."""
+        dense = np.zeros(SYMBOLS ** (DENSE + 1), np.float32)
+        dense[leaves[0][0]] = leaves[0][1]
+        self.dense = dense
+        by_context = dense.reshape(-1, SYMBOLS)
+        self.total = by_context.sum(1, dtype=np.float64)
+        self.distinct = np.count_nonzero(by_context, 1).astype(np.float64)
+        self.log_p = log_probabilities(dense)
+        self.orders = []
+        shorter = lambda keys: dense[keys].astype(np.float64)
+        for order, (keys, counts) in enumerate(leaves[1:], DENSE + 1):
+            low = keys & ((1 << 6 * order) - 1)
+            below = shorter(low)
+            keys, counts, below = keys[below > 0], counts[below > 0].astype(np.float64), below[below > 0]
+            context, first = np.unique(keys >> 6, return_index=True)
+            sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: B023, E731
+            self.orders.append((Lookup(keys), counts, Lookup(context), sums(counts), np.diff(np.append(first, len(keys))).astype(np.float64), sums(below)))
+            shorter = self._counts(self.orders[-1][0], counts)
+
+    @staticmethod
+    def _counts(table: Lookup, counts: np.ndarray):
+        def get(keys: np.ndarray) -> np.ndarray:
+            at = table.find(keys)
+            return np.where(at >= 0, counts[at] if len(counts) else 0.0, 0.0)
+
+        return get
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each key's last symbol after its context."""
+        out = np.zeros(len(keys))
+        mass, number = np.zeros(len(keys)), np.zeros(len(keys))  # excluded from the order at hand
+        left = np.arange(len(keys))
+        for order in range(ORDER, DENSE, -1):
+            table, counts, contexts, total, distinct, below = self.orders[order - DENSE - 1]
+            if not len(counts):
+                continue
+            own = keys[left] & ((1 << 6 * (order + 1)) - 1)
+            at = contexts.find(own >> 6)
+            here = at >= 0
+            at = np.where(here, at, 0)
+            rest = np.where(here, total[at] - mass[left], 0.0)
+            weight = rest + distinct[at] - number[left]
+            use = here & (rest > 0)
+            leaf = np.full(len(left), -1)
+            leaf[use] = table.find(own[use])
+            hit = leaf >= 0
+            out[left[hit]] += np.log10(counts[leaf[hit]] / weight[hit])
+            miss = use & ~hit
+            out[left[miss]] += np.log10((distinct[at] - number[left])[miss] / weight[miss])
+            mass[left] = np.where(here, below[at], 0.0)
+            number[left] = np.where(here, distinct[at], 0.0)
+            left = left[~hit]
+        own = keys[left] & (SYMBOLS ** (DENSE + 1) - 1)
+        context = own >> 6
+        count, total, distinct = self.dense[own], self.total[context], self.distinct[context]
+        rest = total - mass[left]
+        weight = rest + distinct - number[left]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = np.log10(count / weight)
+            # Below order DENSE nothing of this context's symbols is left either way.
+            escape = np.where(total > 0, np.log10(distinct / (total + distinct)), 0.0)
+            passed = np.where(rest > 0, np.log10((distinct - number[left]) / weight), 0.0)
+        out[left] += np.where(count > 0, found, passed - escape + self.log_p[own])
+        return out
+
+
+def log_probabilities(dense: np.ndarray) -> np.ndarray:
+    """log10 probability of each symbol after each context of DENSE symbols, with all shorter ones.
 
     At each order the symbols that longer contexts hold are excluded.  The escape to the next order weighs as many
     counts as distinct symbols are left in the context; contexts never seen, or with nothing left, are passed without
     cost; below order 0 the symbols left are equally likely.
     """
-    c3 = np.zeros(SYMBOLS**4, np.float32)
-    c3[keys] = counts
-    c3 = c3.reshape(SYMBOLS, SYMBOLS * SYMBOLS, SYMBOLS)
+    c3 = dense.reshape(SYMBOLS, SYMBOLS * SYMBOLS, SYMBOLS)
     c2 = c3.sum(0, dtype=np.float64)
     c1 = c2.reshape(SYMBOLS, SYMBOLS, SYMBOLS).sum(0)
     c0 = c1.sum(0)
@@ -86,8 +195,9 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
             rest = (open_ & ~seen).any(1, keepdims=True) & (level < 4)
             weight = np.where(rest, total + distinct, np.maximum(total, 1e-300))
             used = total > 0
-            p += np.where(seen, mass * own / weight, 0)
-            mass = np.where(used, np.where(rest, mass * distinct / weight, 0), mass)
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                p += np.where(seen, mass * own / weight, 0)
+                mass = np.where(used, np.where(rest, mass * distinct / weight, 0), mass)
             open_ &= ~seen
         out[first] = np.log10(p)
     return out.reshape(-1)
@@ -100,44 +210,65 @@ def byte_shares(counts: np.ndarray) -> np.ndarray:
     return np.log10(np.where(upper, 1, c) / np.bincount(SYMBOL_OF, c, SYMBOLS)[SYMBOL_OF])
 
 
-def _train(rows: DataFrame, head: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Counts over all training texts: (keys, counts), counts of bytes and of head words, number of tokens."""
+def _train(rows: DataFrame, head: list[bytes], leaves: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, int]:
+    """Counts over all training texts: leaves by order, counts of bytes and of head words, number of tokens."""
     shared = rows.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(shared.value)}
-        counts = np.zeros(SYMBOLS**4, np.int64)
         by_byte = np.zeros(256, np.int64)
         words: Counter = Counter()
         tokens = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows_of(kind: int, key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(value.astype(np.int64))], ["kind", "key", "value"])
+
         for batch in batches:
             offsets, raw = buffers(batch.column(0))
             for i, j in slices(offsets):
                 low = ascii_lower(raw[offsets[i] : offsets[j]])
                 by_byte += np.bincount(low, minlength=256)
-                keys, c = np.unique(positions(offsets[i : j + 1] - offsets[i], low)[0], return_counts=True)
-                counts[keys] += c
+                held.append(np.unique(positions(offsets[i : j + 1] - offsets[i], low)[0], return_counts=True))
+                if sum(len(k) for k, _ in held) > HELD_KEYS:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > HELD_KEYS // 2:
+                        yield rows_of(0, *held.pop())
                 blob, start = low.tobytes(), int(offsets[i])
                 for k in range(i, j):
                     found = blob[offsets[k] - start : offsets[k + 1] - start].split()
                     tokens += len(found) + 1
                     words.update(filter(place.__contains__, found))
-        used = np.flatnonzero(counts)
-        kind = np.repeat(np.array([0, 1, 2, 3], np.int32), [len(used), 256, len(words), 1])
-        key = np.concatenate([used, np.arange(256), [place[w] for w in words], [0]]).astype(np.int64)
-        value = np.concatenate([counts[used], by_byte, list(words.values()), [tokens]]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(value)], ["kind", "key", "value"])
-
-    # At most 64**4 + 256 + len(head) + 1 rows come to the driver.
-    table = rows.select("text").mapInArrow(run, "kind int, key long, value long").groupBy("kind", "key").agg(F.sum("value").alias("value")).where("value > 0").toArrow()
+        if held:
+            yield rows_of(0, *_merged(held))
+        yield rows_of(1, np.arange(256), by_byte)
+        yield rows_of(2, np.array([place[w] for w in words]), np.array(list(words.values())))
+        yield rows_of(3, np.zeros(1), np.array([tokens]))
+
+    counted = checkpoint(rows.select("text").mapInArrow(run, "kind int, key long, value long").groupBy("kind", "key").agg(F.sum("value").alias("value")).where("value > 0"))
+    longest = counted.where("kind = 0").select("key", "value")
+    trie = []
+    for order in range(DENSE, ORDER + 1):
+        own = longest if order == ORDER else longest.groupBy(F.col("key").bitwiseAND(F.lit((1 << 6 * (order + 1)) - 1)).alias("key")).agg(F.sum("value").alias("value"))
+        # The complete order has at most 64**4 leaves; of the others so many come to the driver.
+        table = (own if order == DENSE else own.orderBy(F.desc("value"), "key").limit(leaves)).toArrow()
+        key, value = table["key"].to_numpy(), table["value"].to_numpy()
+        by_key = np.argsort(key)
+        trie.append((key[by_key], value[by_key]))
+    table = counted.where("kind > 0").toArrow()
     kind, key, value = (table[c].to_numpy() for c in ("kind", "key", "value"))
     by_byte, by_word = np.zeros(256, np.int64), np.zeros(len(head), np.int64)
     by_byte[key[kind == 1]] = value[kind == 1]
     by_word[key[kind == 2]] = value[kind == 2]
-    return key[kind == 0].astype(np.int32), value[kind == 0], by_byte, by_word, int(value[kind == 3].sum())
+    return trie, by_byte, by_word, int(value[kind == 3].sum())
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
-def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 4000, head_words: int = 60_000) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", leaves: int = 1_000_000, sample_rows: int = 4000, head_words: int = 60_000) -> DataFrame:
     """One row a row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Both models learn from all rows but the held-out ones (null counts as not held out).  Words are maximal runs
@@ -155,13 +286,13 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
     learn = rows.where(~F.col("held"))
     sample = Counter(w for r in learn.select("text").limit(sample_rows).toArrow()["text"].to_pylist() if r for w in r.encode().lower().split())
     head = [w for w, c in sample.most_common(head_words) if c > 1]
-    keys, counts, by_byte, by_word, n = _train(learn, head)
+    trie, by_byte, by_word, n = _train(learn, head, leaves)
     ends = learn.count()
-    shared = rows.sparkSession.sparkContext.broadcast((keys, counts, by_byte, head, by_word))
+    shared = rows.sparkSession.sparkContext.broadcast((trie, by_byte, head, by_word))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, by_byte, head, by_word = shared.value
-        table, share = _tables(shared.value)
+        _, _, head, by_word = shared.value
+        model, share = _tables(shared.value)
         known = dict(zip(head, np.log10(by_word + 1.0).tolist(), strict=True))
         for batch in batches:
             offsets, raw = buffers(batch.column(1))
@@ -170,7 +301,7 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
                 low = ascii_lower(raw[offsets[i] : offsets[j]])
                 at = offsets[i : j + 1] - offsets[i]
                 place, ends_at = positions(at, low)
-                ppm = np.add.reduceat(table[place].astype(np.float64), ends_at[:-1])
+                ppm = np.add.reduceat(model.log10(place), ends_at[:-1])
                 shares = np.concatenate([[0.0], np.cumsum(share[low])])
                 ppm += shares[at[1:]] - shares[at[:-1]]
                 blob = low.tobytes()
@@ -239,8 +370,8 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
 _KEPT: list = []
 
 
-def _tables(model: tuple) -> tuple[np.ndarray, np.ndarray]:
+def _tables(model: tuple) -> tuple[Trie, np.ndarray]:
     """The finished tables, made once a worker process and model."""
     if not _KEPT or _KEPT[0] is not model:
-        _KEPT[:] = [model, log_probabilities(model[0], model[1]), byte_shares(model[2])]
+        _KEPT[:] = [model, Trie(model[0]), byte_shares(model[1])]
     return _KEPT[1], _KEPT[2]
