@@ -156,10 +156,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             offsets, raw = buffers(batch.column(0))
             for i, j in slices(offsets):
                 text, first, size, anchor = runs(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], length)
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(text + i)), pa.array(anchor.view(np.int64))], ["hash", "anchor"])
-
-    found = rows.select("text", "hash").mapInArrow(anchors, "hash long, anchor long")
-    several = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+                # An anchor that recurs in a text is sent once with its number there.
+                order = np.lexsort((anchor, text))
+                text, anchor = text[order], anchor[order]
+                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(text)), bool), (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])]))
+                times = np.diff(np.append(new, len(text)))
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(text[new] + i)), pa.array(anchor[new].view(np.int64)), pa.array(times, pa.int64())], ["hash", "anchor", "times"])
+
+    found = rows.select("text", "hash").mapInArrow(anchors, "hash long, anchor long, times long")
+    several = found.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
     of_text = found.join(several, "anchor", "left_semi").groupBy("hash").agg(F.collect_set("anchor").alias("anchors"))
     dealt = rows.repartition("hash")
 
@@ -186,7 +191,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 start = first - (offsets[i:j][text] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(text + i)), pa.array(anchor.view(np.int64)), pa.array(start, pa.int64()), pa.array(content, pa.binary())], ["hash", "anchor", "start", "content"])
 
-    sent = dealt.join(of_text, "hash").select("text", "hash", "anchors").mapInArrow(windows, "hash long, anchor long, start long, content binary")
+    # Both passes over the dealt texts read the same columns, so that one shuffle serves them.
+    sent = dealt.join(of_text, "hash").select("text", "hash", "anchors", "doc_id").mapInArrow(windows, "hash long, anchor long, start long, content binary")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = IndexFamily()
@@ -245,7 +251,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 arrays.append(pa.array([r.decode("utf-8", "replace") for r in cols[5]], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept_text"] if keep_text else [])])
 
-    return dealt.join(spans, "hash", "left").select("doc_id", "text", "spans").mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>{text_col_type}")
+    return dealt.join(spans, "hash", "left").select("doc_id", "text", "spans", "hash").mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>{text_col_type}")
 
 
 def buffers_of_longs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
