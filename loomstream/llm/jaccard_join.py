@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ascii_lower, buffers, checkpoint, select_as, slices
+from .common import BROADCAST_ROWS, ascii_lower, buffers, checkpoint, select_as, slices
 from .components import connected_components
 from .suffix_dedup import MIX, _mixed
 
 #: Shingles whose sets one task of the region join holds at most (two blocks), and members that are compared directly.
 BLOCK_SHINGLES, LEAF = 1_000_000, 64
+#: Ids of sets that a task remembers having sent.
+MOST_SEEN = 1_000_000
 #: A shingle this frequent goes to the end of the order; at most so many are known to be.  Neither changes a result.
-FREQUENT, MOST_FREQUENT = 32, 1_000_000
+FREQUENT, MOST_FREQUENT = 2, 2_000_000
 
 
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,42 +215,62 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     frequent = spark.sparkContext.broadcast(np.sort(counted.orderBy(F.desc("n"), "shingle").select("shingle").limit(MOST_FREQUENT).toArrow()["shingle"].to_numpy().view(np.uint64)))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value
         for batch in batches:
             offsets, raw = buffers(batch.column(1))
-            n, ids, heads = [], [], []
+            n, ids = [], []
             for i, j in slices(offsets):
                 for s in shingle_sets(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], words):
                     n.append(len(s))
                     ids.append(set_id(s))
-                    head = len(s) * (100 - percent) // 100 + 1 if len(s) else 0
-                    if len(last) and len(s):
-                        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        common = last[at] == s
-                        s = np.concatenate([s[~common], s[common]])
-                    heads.append(s[:head].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2), pa.array(heads, pa.binary())], ["doc_id", "n_shingles", "set_id", "text_hash", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2)], ["doc_id", "n_shingles", "set_id", "text_hash"])
 
-    every = rows.mapInArrow(classes, f"doc_id {kind}, n_shingles long, set_id long, text_hash long, head binary")
-    # Of each class one row of heads goes on; groups of copies are aggregated before they are shuffled.
-    per_class = every.where("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n"), F.max("head").alias("head"))
+    narrow = checkpoint(rows.mapInArrow(classes, f"doc_id {kind}, n_shingles long, set_id long, text_hash long"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = frequent.value
+        seen: set[int] = set()
         for batch in batches:
-            at, raw = buffers(batch.column(2))
-            take = pa.array(np.repeat(np.arange(len(at) - 1), np.diff(at) // 8))
-            yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["shingle", "set_id", "n"])
-
-    cell = Window.partitionBy("shingle")
-    cells = per_class.select("set_id", F.col("n").cast("int").alias("n"), "head").mapInArrow(postings, "shingle long, set_id long, n int")
-    cells = cells.withColumn("pivot", F.min("set_id").over(cell)).withColumn("members", F.max("set_id").over(cell))
-    members = checkpoint(cells.where("pivot <> members").groupBy("pivot", "set_id").agg(F.max("n").alias("n")))
+            offsets, raw = buffers(batch.column(0))
+            for i, j in slices(offsets):
+                heads, ids, sizes, first = [], [], [], []
+                for s in shingle_sets(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], words):
+                    own = set_id(s)
+                    if not len(s) or own in seen:  # of copies in a task one sends its shingles
+                        continue
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()
+                    seen.add(own)
+                    n = len(s)
+                    # The smaller of two linked sets shares one of its first floor(r' n) + 1, r' n being what a set can
+                    # hold beyond the other if it is the smaller; the larger one of its first floor(r n) + 1.
+                    head, near = n * (100 - percent) // 100 + 1, n * (100 - percent) // (100 + percent) + 1
+                    if len(last):
+                        common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                        s = np.concatenate([s[~common], s[common]])
+                    heads.append(s[:head])
+                    ids.append(np.full(len(heads[-1]), own))
+                    sizes.append(np.full(len(heads[-1]), n, np.int32))
+                    first.append(np.arange(len(heads[-1])) < near)
+                if heads:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(first))], ["shingle", "set_id", "n", "near"])
+
+    # In a cell, by size, members meet only through a chain of sizes that a link can span.
+    by_size = Window.partitionBy("shingle").orderBy("n")
+    cells = rows.select("text").mapInArrow(postings, "shingle long, set_id long, n int, near boolean")
+    below = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False))
+    above = F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
+    cells = cells.withColumn("below", below).withColumn("above", above)
+    cells = cells.withColumn("chain", F.sum(F.when(F.col("below"), 0).otherwise(1)).over(by_size.rowsBetween(Window.unboundedPreceding, 0))).where("below OR above")
+    cell = Window.partitionBy("shingle", "chain")
+    cells = cells.withColumn("pivot", F.min("set_id").over(cell)).withColumn("other", F.max("set_id").over(cell)).withColumn("close", F.max("near").over(cell))
+    members = checkpoint(cells.where("pivot <> other AND close").groupBy("pivot", "set_id").agg(F.max("n").alias("n")))
 
     # The sets of all classes in regions, read from a document of each class.
     wanted = members.select(F.col("set_id").alias("wanted")).distinct()
-    narrow = checkpoint(every.select("doc_id", "n_shingles", "set_id", "text_hash"))
-    readers = narrow.where("n_shingles > 0").join(wanted, F.col("set_id") == F.col("wanted"), "left_semi").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("of")).select("set_id", F.col("of.doc_id").alias("reader"))
-    texts = rows.join(readers.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(readers["reader"])).select("set_id", "text")
+    readers = narrow.where("n_shingles > 0").join(wanted, F.col("set_id") == F.col("wanted"), "left_semi").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("of"))
+    readers = checkpoint(readers.select(F.col("set_id").alias("wanted_set"), F.col("of.doc_id").alias("reader")))
+    readers = F.broadcast(readers) if readers.count() <= BROADCAST_ROWS else readers.hint("shuffle_hash")
+    texts = rows.join(readers, rows["doc_id"].eqNullSafe(readers["reader"])).select("wanted_set", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
