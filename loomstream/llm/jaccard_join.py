@@ -8,6 +8,8 @@ are:
   by the triangle inequality every y within r of x has d(y, Q) < 1: it shares a shingle with Q.  With one order of all
   shingles for all documents (shingles that recur widely last) two documents within r share one among the first
   floor(r |x|) + 1 of each; documents that share such a shingle form a cell.
+  Heads are a margin longer than that, so that linked documents share many of theirs, and documents that share but a
+  passage with others, and so cannot be within r of any, leave their cells.
 * Of each cell one document is the pivot, the same for all cells where it is least in a fixed order, so near copies
   agree on one.  A pivot's region is all documents of its cells: every linked pair meets in some region.
 * In a region, members within r of the pivot are linked to it, and so to each other, without comparing them.  The rest
@@ -35,6 +37,8 @@ from .suffix_dedup import MIX, _mixed
 
 #: Shingles whose sets one task of the region join holds at most (two blocks), and members that are compared directly.
 BLOCK_SHINGLES, LEAF = 1_000_000, 64
+#: How much longer heads are than the radius asks for, as a share of the set in percent.  It changes no result.
+MARGIN = 10
 #: Ids of sets that a task remembers having sent.
 MOST_SEEN = 1_000_000
 #: A shingle this frequent goes to the end of the order; at most so many are known to be.  Neither changes a result.
@@ -232,7 +236,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             offsets, raw = buffers(batch.column(0))
             for i, j in slices(offsets):
-                heads, ids, sizes, first = [], [], [], []
+                heads, ids, sizes = [], [], []
                 for s in shingle_sets(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], words):
                     own = set_id(s)
                     if not len(s) or own in seen:  # of copies in a task one sends its shingles
@@ -241,29 +245,35 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                         seen.clear()
                     seen.add(own)
                     n = len(s)
-                    # The smaller of two linked sets shares one of its first floor(r' n) + 1, r' n being what a set can
-                    # hold beyond the other if it is the smaller; the larger one of its first floor(r n) + 1.
-                    head, near = n * (100 - percent) // 100 + 1, n * (100 - percent) // (100 + percent) + 1
+                    # Linked sets share over MARGIN % of the smaller one's size among their heads (see `least`).
+                    head = n * (100 - percent) // 100 + n * MARGIN // 100 + 1
                     if len(last):
                         common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                         s = np.concatenate([s[~common], s[common]])
                     heads.append(s[:head])
                     ids.append(np.full(len(heads[-1]), own))
                     sizes.append(np.full(len(heads[-1]), n, np.int32))
-                    first.append(np.arange(len(heads[-1])) < near)
                 if heads:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(first))], ["shingle", "set_id", "n", "near"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["shingle", "set_id", "n"])
 
     # In a cell, by size, members meet only through a chain of sizes that a link can span.
     by_size = Window.partitionBy("shingle").orderBy("n")
-    cells = rows.select("text").mapInArrow(postings, "shingle long, set_id long, n int, near boolean")
+    cells = rows.select("text").mapInArrow(postings, "shingle long, set_id long, n int")
     below = F.coalesce(100 * F.lag("n").over(by_size) >= percent * F.col("n"), F.lit(False))
     above = F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(by_size), F.lit(False))
     cells = cells.withColumn("below", below).withColumn("above", above)
     cells = cells.withColumn("chain", F.sum(F.when(F.col("below"), 0).otherwise(1)).over(by_size.rowsBetween(Window.unboundedPreceding, 0))).where("below OR above")
     cell = Window.partitionBy("shingle", "chain")
-    cells = cells.withColumn("pivot", F.min("set_id").over(cell)).withColumn("other", F.max("set_id").over(cell)).withColumn("close", F.max("near").over(cell))
-    members = checkpoint(cells.where("pivot <> other AND close").groupBy("pivot", "set_id").agg(F.max("n").alias("n")))
+    cells = cells.withColumn("pivot", F.min("set_id").over(cell)).withColumn("other", F.max("set_id").over(cell)).where("pivot <> other")
+    shared = checkpoint(cells.groupBy("pivot", "set_id").agg(F.max("n").alias("n"), F.count("*").alias("cells")))
+    # With heads longer by a margin l than the radius asks for, linked sets x and y share min(l(x), l(y)) + 1 shingles of
+    # their heads, and |y| >= percent |x|: a set that shares fewer in all of its cells together has no link.
+    least = F.floor(F.floor(F.col("n") * percent / 100) * MARGIN / 100) + 1
+    viable = shared.groupBy("set_id").agg(F.max("n").alias("n"), F.sum("cells").alias("cells")).where(F.col("cells") >= least).select("set_id")
+    shared = shared.join(viable, "set_id", "left_semi")
+    # The least member left is its region's pivot; regions that now have one pivot are one.
+    leading = shared.groupBy("pivot").agg(F.min("set_id").alias("lead"), F.max("set_id").alias("last")).where("lead <> last")
+    members = checkpoint(shared.join(leading, "pivot").groupBy(F.col("lead").alias("pivot"), "set_id").agg(F.max("n").alias("n")))
 
     # The sets of all classes in regions, read from a document of each class.
     wanted = members.select(F.col("set_id").alias("wanted")).distinct()
