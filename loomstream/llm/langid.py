@@ -77,15 +77,19 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) < int(most_rows / count * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        words: dict[str, Counter] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w, c in Counter(WORD.findall(text.lower())).items():
-                    if any(map(str.isalpha, w)):
-                        counts[lang, 0, w] += c
-                        for m in range(1, n + 1):
-                            for g in grams(w, m):
-                                counts[lang, m, g] += c
+                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+        # The n-grams of a word that recurs are cut once.
+        counts: Counter = Counter()
+        for lang, of_lang in words.items():
+            for w, c in of_lang.items():
+                if any(map(str.isalpha, w)):
+                    counts[lang, 0, w] += c
+                    for m in range(1, n + 1):
+                        for g in grams(w, m):
+                            counts[lang, m, g] += c
         langs, orders, keys = zip(*counts, strict=True) if counts else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "n", "gram", "c"])
 
