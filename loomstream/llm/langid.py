@@ -24,41 +24,53 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class WordScores:
-    """Log frequencies of words and n-grams, and the rows of scores of the words met so far."""
+    """Log frequencies of words (the first table) and of n-grams (by n), and the rows of scores of the words met so far.
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], ngrams: list[dict[str, np.ndarray]], backoff: float) -> None:
-        self.langs, self.words, self.ngrams, self.backoff = langs, words, ngrams, backoff
+    A table is the rows' numbers by name and a row of one score a language each.
+    """
+
+    def __init__(self, langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]], backoff: float) -> None:
+        self.langs, self.tables, self.backoff = langs, tables, backoff
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.langs) + 1))
 
-    def score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for back, table in enumerate(reversed(self.ngrams), 1):
-            found = [table[g] for g in grams(word, len(self.ngrams) - back + 1) if g in table]
-            if found:
-                return np.mean(found, 0) + back * self.backoff
-        return np.zeros(len(self.langs))
+    def meet(self, new: list[str]) -> None:
+        """Score words that have no row yet, all together."""
+        begin, end = len(self.row), len(self.row) + len(new)
+        while end > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.row.update(zip(new, range(begin, end), strict=True))
+        scored = self.table[begin:end]
+        left = [i for i, w in enumerate(new) if any(map(str.isalpha, w))]
+        scored[left, -1] = 1
+        index, values = self.tables[0]
+        known = [i for i in left if new[i] in index]
+        scored[known, :-1] = values[[index[new[i]] for i in known]]
+        left = [i for i in left if new[i] not in index]
+        for n in range(len(self.tables) - 1, 0, -1):
+            index, values = self.tables[n]
+            at, done, sizes, rest = [], [], [], []
+            for i in left:
+                found = [k for g in grams(new[i], n) if (k := index.get(g)) is not None]
+                if found:
+                    at += found
+                    done.append(i)
+                    sizes.append(len(found))
+                else:
+                    rest.append(i)
+            if done:
+                each = np.array(sizes)
+                scored[done, :-1] = np.add.reduceat(values[at], np.cumsum(each) - each) / each[:, None] + (len(self.tables) - n) * self.backoff
+            left = rest
 
     def rows(self, words: list[str]) -> np.ndarray:
-        get = self.row.get
-        out = [get(w, -1) for w in words]
-        for i, at in enumerate(out):
-            if at < 0:
-                w = words[i]
-                at = self.row.get(w)
-                if at is None:
-                    at = self.row[w] = len(self.row)
-                    if at >= len(self.table):
-                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                    if any(map(str.isalpha, w)):
-                        self.table[at, :-1] = self.score(w)
-                        self.table[at, -1] = 1
-                out[i] = at
+        out = list(map(self.row.get, words))
+        if None in out:
+            self.meet(list(dict.fromkeys(w for w, at in zip(words, out, strict=True) if at is None)))
+            out = list(map(self.row.get, words))
         return self.table[out]
 
 
@@ -102,7 +114,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         return None
     place = {lang: i for i, lang in enumerate(langs)}
     of_order = np.array(table["n"])
-    models: list[dict[str, np.ndarray]] = []
+    tables: list[tuple[dict[str, int], np.ndarray]] = []
     for m in range(n + 1):
         part = table.filter(pa.array(of_order == m))
         names = part["gram"].to_pylist()
@@ -110,8 +122,8 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         for i, of in enumerate(part["of"].to_pylist()):
             for x in of:
                 c[i, place[x["lang"]]] += x["c"]
-        models.append(dict(zip(names, np.log(c / c.sum(0)), strict=True)))
-    return WordScores(langs, models[0], models[1:], backoff)
+        tables.append(({name: i for i, name in enumerate(names)}, np.log(c / c.sum(0))))
+    return WordScores(langs, tables, backoff)
 
 
 def predict(docs: DataFrame, model: WordScores | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +139,7 @@ def predict(docs: DataFrame, model: WordScores | None, *, id_col: str = "doc_id"
     names = kept.columns
     at = names.index(text_col)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((model.langs, model.words, model.ngrams, model.backoff)) if model else None
+    shared = sc.broadcast((model.langs, model.tables, model.backoff)) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(*shared.value) if shared else None
