@@ -6,6 +6,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
+from loomstream.cli import main
 from loomstream.sources.logs import decode_logs
 from loomstream.sources.rpc import Node, RpcError, RpcLogs, Span
 
@@ -87,3 +88,14 @@ def test_source(spark, url):
     assert all(r["block_timestamp"].timestamp() == r["block_number"] * 2 for r in rows)
     with pytest.raises(Exception, match="options missing"):
         spark.read.format("rpc_logs").option("url", url).load().count()
+
+
+def test_commands(spark, url, tmp_path, capsys):
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "models")
+    assert main(["fetch", "--url", url, "--token", TOKEN, "--topic", TOPIC, "--network", "n", "--chain-id", "1", "--start", "1", "--end", "60", "--out", raw]) == 0
+    assert spark.read.parquet(raw).count() == 120
+    assert main(["transform", raw, "--out", out]) == 0
+    assert spark.read.parquet(f"{out}/stg_transfers").count() == 120
+    assert main(["validate", raw, "--token", "0x" + "cd" * 20]) == 1
+    shown = capsys.readouterr().out
+    assert "mart_anomalies" in shown and shown.count(": 0 mismatches") == 9
