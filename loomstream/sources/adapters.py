@@ -40,8 +40,9 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders_log(spark: SparkSession, sf_dir: str, *, before: str | None = "2000-06-15") -> DataFrame:
-    """Order lines: customer to supplier at the ship date; keys recur, the latest ship date wins."""
+def orders_log(spark: SparkSession, sf_dir: str, *, before: str | None = None) -> DataFrame:
+    """Order lines: customer to supplier at the ship date; keys recur, the latest ship date wins.  With before, only
+    lines shipped before that day."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     if before:
         lines = lines.where(F.col("l_shipdate") < F.lit(before).cast("timestamp_ntz"))

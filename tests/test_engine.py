@@ -15,7 +15,7 @@ from loomstream.operators import experiments, marts, quality, reconcile, staging
 from loomstream.plans.warehouse import Warehouse
 from loomstream.schema import RAW_TRANSFERS
 from loomstream.sources import segments
-from loomstream.sources.adapters import TOKEN, address
+from loomstream.sources.adapters import TOKEN, address, orders_log
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["orders", "lineitem", "events", "customer"]
@@ -153,3 +153,12 @@ def test_segments(spark, tmp_path):
     del loaded.segments[0]
     with pytest.raises(ValueError, match="not covered"):
         segments.plan_window(loaded, 5, 14)
+
+
+def test_orders_log_is_whole_unless_cut(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert orders_log(spark, SF).count() == lines.count()
+    assert registry.queries()["stg_transfers_dedup"](spark, SF).count() == lines.select("l_orderkey", "l_linenumber").distinct().count()
+    cut = orders_log(spark, SF, before="2000-06-15")  # a Thursday: the last week of each cohort is immature
+    assert cut.count() == lines.where("l_shipdate < timestamp_ntz'2000-06-15'").count() < lines.count()
+    assert Warehouse(cut).mart_retention_cohorts.where("NOT is_mature").count() > 0
