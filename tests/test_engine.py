@@ -162,3 +162,10 @@ def test_orders_log_is_whole_unless_cut(spark):
     cut = orders_log(spark, SF, before="2000-06-15")  # a Thursday: the last week of each cohort is immature
     assert cut.count() == lines.where("l_shipdate < timestamp_ntz'2000-06-15'").count() < lines.count()
     assert Warehouse(cut).mart_retention_cohorts.where("NOT is_mature").count() > 0
+
+
+def test_segment_integrity_counts_every_block(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1), 1, '{"k": 2}', 1.0) for i in (-700, -1, 0, 9_999, 10_000, 25_250)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["segment_integrity"](spark, str(tmp_path)).where("row_count > 0").orderBy("start_block").collect()
+    assert [tuple(r) for r in got] == [(-1000, -501, 1), (-500, -1, 1), (0, 499, 1), (9_500, 9_999, 1), (10_000, 10_499, 1), (25_000, 25_250, 1)]
