@@ -3,9 +3,10 @@
 The PPM model reads bytes (A-Z lower-cased) as 64 symbols fixed in advance: frequent bytes have a symbol of their own,
 the rest share symbols, and a byte's probability is its symbol's times its share among the symbol's bytes.  The
 context trie holds symbol counts after contexts of up to ORDER symbols, all counted over all training texts.  Up to
-three symbols it is complete: with 64 symbols that is at most 64**4 leaves whatever the corpus, kept as dense arrays.
-Of each longer order the `leaves` most frequent ones are kept, those under a kept shorter one, in hash tables; so the
-model that tasks are sent has a bound that does not depend on the corpus.
+three symbols it is at most 64**4 leaves whatever the corpus, kept as dense arrays.  The longer orders are kept whole as
+well, in a table dealt by the last three symbols of the context: all that the probability of a key (a context of ORDER
+symbols and the symbol after it) needs lies in one part, where it is computed once for every key of the texts.  Tasks
+are sent the most frequent keys' probabilities; those of all others are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ END = 63
 ORDER, DENSE = 5, 3
 #: Distinct keys that a training task holds before it sends their counts on.
 HELD_KEYS = 2_000_000
+#: Leads a key where it stands among words; no word holds a space, and a text's own row goes on in a digit or a minus.
+KEY_MARK = b" p"
+KEY_BITS = (1 << 6 * (ORDER + 1)) - 1
 
 
 def byte_symbols() -> np.ndarray:
@@ -113,9 +117,14 @@ class Trie:
         self.total = by_context.sum(1, dtype=np.float64)
         self.distinct = np.count_nonzero(by_context, 1).astype(np.float64)
         self.log_p = log_probabilities(dense)
+        self.lengthen(leaves[1:])
+
+    def lengthen(self, leaves: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Take these as the leaves of the orders above DENSE."""
+        dense = self.dense
         self.orders = []
         shorter = lambda keys: dense[keys].astype(np.float64)
-        for order, (keys, counts) in enumerate(leaves[1:], DENSE + 1):
+        for order, (keys, counts) in enumerate(leaves, DENSE + 1):
             low = keys & ((1 << 6 * order) - 1)
             below = shorter(low)
             keys, counts, below = keys[below > 0], counts[below > 0].astype(np.float64), below[below > 0]
@@ -210,8 +219,9 @@ def byte_shares(counts: np.ndarray) -> np.ndarray:
     return np.log10(np.where(upper, 1, c) / np.bincount(SYMBOL_OF, c, SYMBOLS)[SYMBOL_OF])
 
 
-def _train(rows: DataFrame, head: list[bytes], leaves: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, int]:
-    """Counts over all training texts: leaves by order, counts of bytes and of head words, number of tokens."""
+def _train(rows: DataFrame, head: list[bytes]) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, int]:
+    """(keys of all texts with their counts over the training texts, leaves of order DENSE, counts of bytes and of head
+    words, number of tokens)."""
     shared = rows.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,16 +236,23 @@ def _train(rows: DataFrame, head: list[bytes], leaves: int) -> tuple[list[tuple[
 
         for batch in batches:
             offsets, raw = buffers(batch.column(0))
+            learned = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in slices(offsets):
                 low = ascii_lower(raw[offsets[i] : offsets[j]])
-                by_byte += np.bincount(low, minlength=256)
-                held.append(np.unique(positions(offsets[i : j + 1] - offsets[i], low)[0], return_counts=True))
+                lengths = np.diff(offsets[i : j + 1])
+                by_byte += np.bincount(low[np.repeat(learned[i:j], lengths)], minlength=256)
+                keys = positions(offsets[i : j + 1] - offsets[i], low)[0]
+                own = np.repeat(learned[i:j], lengths + 1)
+                held.append(np.unique(keys[own], return_counts=True))
+                if not own.all():  # keys of held-out texts are listed, but not counted
+                    other = np.unique(keys[~own])
+                    held.append((other, np.zeros(len(other), np.int64)))
                 if sum(len(k) for k, _ in held) > HELD_KEYS:
                     held = [_merged(held)]
                     if len(held[0][0]) > HELD_KEYS // 2:
                         yield rows_of(0, *held.pop())
                 blob, start = low.tobytes(), int(offsets[i])
-                for k in range(i, j):
+                for k in np.flatnonzero(learned[i:j]) + i:
                     found = blob[offsets[k] - start : offsets[k + 1] - start].split()
                     tokens += len(found) + 1
                     words.update(filter(place.__contains__, found))
@@ -245,22 +262,44 @@ def _train(rows: DataFrame, head: list[bytes], leaves: int) -> tuple[list[tuple[
         yield rows_of(2, np.array([place[w] for w in words]), np.array(list(words.values())))
         yield rows_of(3, np.zeros(1), np.array([tokens]))
 
-    counted = checkpoint(rows.select("text").mapInArrow(run, "kind int, key long, value long").groupBy("kind", "key").agg(F.sum("value").alias("value")).where("value > 0"))
+    counted = checkpoint(rows.select("text", "held").mapInArrow(run, "kind int, key long, value long").groupBy("kind", "key").agg(F.sum("value").alias("value")).where("kind = 0 OR value > 0"))
     longest = counted.where("kind = 0").select("key", "value")
-    trie = []
-    for order in range(DENSE, ORDER + 1):
-        own = longest if order == ORDER else longest.groupBy(F.col("key").bitwiseAND(F.lit((1 << 6 * (order + 1)) - 1)).alias("key")).agg(F.sum("value").alias("value"))
-        # The complete order has at most 64**4 leaves; of the others so many come to the driver.
-        table = (own if order == DENSE else own.orderBy(F.desc("value"), "key").limit(leaves)).toArrow()
-        key, value = table["key"].to_numpy(), table["value"].to_numpy()
-        by_key = np.argsort(key)
-        trie.append((key[by_key], value[by_key]))
+    # The complete order has at most 64**4 leaves; they come to the driver.
+    table = longest.where("value > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 6 * (DENSE + 1)) - 1)).alias("key")).agg(F.sum("value").alias("value")).toArrow()
+    key, value = table["key"].to_numpy(), table["value"].to_numpy()
+    by_key = np.argsort(key)
+    dense = (key[by_key], value[by_key])
     table = counted.where("kind > 0").toArrow()
     kind, key, value = (table[c].to_numpy() for c in ("kind", "key", "value"))
     by_byte, by_word = np.zeros(256, np.int64), np.zeros(len(head), np.int64)
     by_byte[key[kind == 1]] = value[kind == 1]
     by_word[key[kind == 2]] = value[kind == 2]
-    return trie, by_byte, by_word, int(value[kind == 3].sum())
+    return longest, dense, by_byte, by_word, int(value[kind == 3].sum())
+
+
+def _key_scores(longest: DataFrame, dense: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, value, log_p: log10 probability of each key's last symbol, with all counted contexts of all orders."""
+    shared = longest.sparkSession.sparkContext.broadcast(dense)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not parts:
+            return
+        keys, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by_key = np.argsort(keys)
+        keys, counts = keys[by_key], counts[by_key]
+        leaves = []
+        for order in range(DENSE + 1, ORDER + 1):
+            own, at = np.unique(keys[counts > 0] & ((1 << 6 * (order + 1)) - 1), return_inverse=True)
+            leaves.append((own, np.bincount(at, counts[counts > 0], len(own))))
+        model = _dense_trie(shared.value)
+        model.lengthen(leaves)
+        for i in range(0, len(keys), 1 << 18):
+            part = slice(i, i + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part]), pa.array(model.log10(keys[part]))], ["key", "value", "log_p"])
+
+    # Contexts of the longer orders that end in the same DENSE symbols meet in one part.
+    return longest.repartition(F.shiftright("key", 6).bitwiseAND(F.lit(SYMBOLS**DENSE - 1))).mapInArrow(run, "key long, value long, log_p double")
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +307,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
-def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", leaves: int = 1_000_000, sample_rows: int = 4000, head_words: int = 60_000) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", head_keys: int = 1_000_000, sample_rows: int = 4000, head_words: int = 60_000) -> DataFrame:
     """One row a row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Both models learn from all rows but the held-out ones (null counts as not held out).  Words are maximal runs
@@ -279,20 +318,25 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
 
     Word counts are exact however many words there are: the head_words most frequent of a few sampled texts are
     counted and looked up by broadcast (their choice changes no result), all other words are counted by one shuffle of
-    a row for each document and distinct word, which then carry their logarithms back to the document.
+    a row for each document and distinct word, which then carry their logarithms back to the document.  So it is with
+    the PPM model: the probabilities of the head_keys most frequent keys are looked up by broadcast (their number changes
+    no result), those of all other keys come by the words' shuffle.
     """
     rows = select_as(docs.withColumn("_held", F.coalesce(held_out, F.lit(False))), doc_id=id_col, text=text_col, held="_held")
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
     learn = rows.where(~F.col("held"))
     sample = Counter(w for r in learn.select("text").limit(sample_rows).toArrow()["text"].to_pylist() if r for w in r.encode().lower().split())
     head = [w for w, c in sample.most_common(head_words) if c > 1]
-    trie, by_byte, by_word, n = _train(learn, head, leaves)
+    longest, dense, by_byte, by_word, n = _train(rows, head)
     ends = learn.count()
-    shared = rows.sparkSession.sparkContext.broadcast((trie, by_byte, head, by_word))
+    keys = checkpoint(_key_scores(longest, dense))
+    top = keys.orderBy(F.desc("value"), "key").limit(head_keys).toArrow()
+    top_key, top_value, top_log = (top[c].to_numpy() for c in ("key", "value", "log_p"))
+    shared = rows.sparkSession.sparkContext.broadcast((top_key, top_log, by_byte, head, by_word))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, head, by_word = shared.value
-        model, share = _tables(shared.value)
+        _, top_log, _, head, by_word = shared.value
+        table, share = _tables(shared.value)
         known = dict(zip(head, np.log10(by_word + 1.0).tolist(), strict=True))
         for batch in batches:
             offsets, raw = buffers(batch.column(1))
@@ -301,7 +345,12 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
                 low = ascii_lower(raw[offsets[i] : offsets[j]])
                 at = offsets[i : j + 1] - offsets[i]
                 place, ends_at = positions(at, low)
-                ppm = np.add.reduceat(model.log10(place), ends_at[:-1])
+                found_at = table.find(place)
+                ppm = np.add.reduceat(np.where(found_at >= 0, top_log[found_at] if len(top_log) else 0.0, 0.0), ends_at[:-1])
+                rare = np.flatnonzero(found_at < 0)
+                # (text, key) of the keys that are not in the head, each once with its number.
+                pairs, rare_times = np.unique((np.searchsorted(ends_at, rare, "right") - 1 << 6 * (ORDER + 1)) | place[rare], return_counts=True)
+                rare_first = np.searchsorted(pairs, np.arange(j - i + 1) << 6 * (ORDER + 1))
                 shares = np.concatenate([[0.0], np.cumsum(share[low])])
                 ppm += shares[at[1:]] - shares[at[:-1]]
                 blob = low.tobytes()
@@ -322,12 +371,16 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
                             total += log * c
                             hits += c
                     tail = len(word) - first
-                    doc += [k] * (tail + 1)
-                    learned += [0] * (tail + 1) if held[k] else [*times[first:], 0]
+                    a, b = rare_first[k - i], rare_first[k - i + 1]
+                    doc += [k] * (tail + b - a + 1)
+                    learned += [0] * tail if held[k] else times[first:]
+                    learned += [0] * (b - a + 1)
+                    word += [KEY_MARK + x.to_bytes(8, "big") for x in (pairs[a:b] & KEY_BITS).tolist()]
+                    times += rare_times[a:b].tolist()
                     # The text's own row; no word holds a space, so its key is its own.
                     word.append(b" %d" % hashes[k])
                     times.append(0)
-                    facts += [None] * tail
+                    facts += [None] * (tail + b - a)
                     facts.append((len(found) + 1, hits, total, float(ppm[k - i])))
                 take = pa.array(doc, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -339,12 +392,19 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     out = rows.select("doc_id", "text", "held", "hash").mapInArrow(score, f"doc_id {kind}, held boolean, hash long, word binary, times int, learned int, tokens long, hits long, part double, score double")
+    out = out.withColumn("log_p", F.lit(None).cast("double"))
+    if len(top_key) == head_keys:  # there may be more keys: theirs are the rows without a text
+        last = F.lit(int(top_value[-1])) if head_keys else F.lit(None)
+        others = keys.where((F.col("value") < last) | ((F.col("value") == last) & (F.col("key") > F.lit(int(top_key[-1]))))) if head_keys else keys
+        mark = F.concat(F.lit(KEY_MARK), F.unhex(F.lpad(F.hex("key"), 16, "0")))
+        out = out.unionByName(others.select(mark.alias("word"), "log_p"), allowMissingColumns=True)
     of_word = Window.partitionBy("word")
-    out = out.withColumn("c", F.sum("learned").over(of_word)).withColumn("first", F.min("hash").over(of_word) == F.col("hash"))
+    out = out.withColumn("c", F.sum("learned").over(of_word)).withColumn("first", F.min("hash").over(of_word) == F.col("hash")).withColumn("log_p", F.max("log_p").over(of_word)).where("hash IS NOT NULL")
     by_doc = out.groupBy("doc_id", "held", "hash").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("tail"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_hits"),
         F.sum(F.when(F.col("first") & (F.col("c") > 0), 1).otherwise(0)).alias("words"),
+        F.coalesce(F.sum(F.col("times") * F.col("log_p")), F.lit(0.0)).alias("rare"),
         F.count("tokens").alias("copies"),
         *(F.max(c).alias(c) for c in ("tokens", "hits", "part", "score")),
     )
@@ -362,16 +422,24 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
             (F.col("hits") + F.col("tail_hits") / F.col("copies") + (1 if ends else 0)).cast("long").alias("n_known"),
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("part") + F.col("tail") / F.col("copies") + F.lit(float(np.log10(ends + 1))) - F.col("tokens") * F.lit(spread)).alias("base_score"),
-            "score",
+            (F.col("score") + F.col("rare") / F.col("copies")).alias("score"),
         )
     )
 
 
 _KEPT: list = []
+_DENSE: list = []
 
 
-def _tables(model: tuple) -> tuple[Trie, np.ndarray]:
+def _tables(model: tuple) -> tuple[Lookup, np.ndarray]:
     """The finished tables, made once a worker process and model."""
     if not _KEPT or _KEPT[0] is not model:
-        _KEPT[:] = [model, Trie(model[0]), byte_shares(model[1])]
+        _KEPT[:] = [model, Lookup(model[0]), byte_shares(model[2])]
     return _KEPT[1], _KEPT[2]
+
+
+def _dense_trie(leaves: tuple[np.ndarray, np.ndarray]) -> Trie:
+    """The trie of the complete orders, made once a worker process and model."""
+    if not _DENSE or _DENSE[0] is not leaves:
+        _DENSE[:] = [leaves, Trie([leaves])]
+    return _DENSE[1]

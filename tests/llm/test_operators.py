@@ -14,7 +14,7 @@ from loomstream.llm import langid
 from loomstream.llm.bpe_fst import default_tokenizer_path
 from loomstream.llm.exact_dedup import exact_dedup
 from loomstream.llm.jaccard_join import jaccard_components
-from loomstream.llm.lm_scoring import DENSE, ORDER, Trie, lm_scores, positions
+from loomstream.llm.lm_scoring import DENSE, ORDER, Trie, byte_shares, lm_scores, positions
 from loomstream.llm.mixing import mix
 from loomstream.llm.packing import Bins, pack_documents, pack_lengths
 from loomstream.llm.pii import pseudonymise
@@ -226,6 +226,20 @@ def test_ppm_is_a_distribution(kept):
     assert np.allclose(p.sum(1), 1, atol=1e-5)
 
 
+@pytest.mark.parametrize("head_keys", [10**6, 50, 0])
+def test_lm_scores_use_every_leaf(docs, rows, head_keys):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    texts = [(r[1] or "").encode().lower() for r in rows]
+    learn = [t for r, t in zip(rows, texts, strict=True) if not held(r[0])]
+    at = lambda ts: positions(np.cumsum([0, *map(len, ts)]), np.frombuffer(b"".join(ts), np.uint8))
+    keys = at(learn)[0]
+    model = Trie([np.unique(keys & ((1 << 6 * (order + 1)) - 1), return_counts=True) for order in range(DENSE, ORDER + 1)])
+    share = byte_shares(np.bincount(np.frombuffer(b"".join(learn), np.uint8), minlength=256))
+    want = {r[0]: model.log10(at([t])[0]).sum() + share[list(t)].sum() for r, t in zip(rows, texts, strict=True)}
+    out = lm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, head_keys=head_keys).collect()
+    assert len(out) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 * max(1, -want[r["doc_id"]]) for r in out)
+
+
 def test_langid(spark, docs, empty):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
