@@ -1,8 +1,8 @@
 """Language-model scores of texts: prediction by partial matching over byte contexts, and a unigram word model.
 
 The PPM model reads bytes (A-Z lower-cased) as 64 symbols fixed in advance: frequent bytes have a symbol of their own,
-the rest share symbols, and a byte's probability is its symbol's times its share among the symbol's bytes.  The
-context trie holds symbol counts after contexts of up to ORDER symbols, all counted over all training texts.  Up to
+the rest share symbols, and a byte's probability is its symbol's times its own among the symbol's bytes, which a second
+PPM model gives by the up to ORDER bytes before it (`byte_log10`).  The context trie holds symbol counts after contexts of up to ORDER symbols, all counted over all training texts.  Up to
 three symbols it is at most 64**4 leaves whatever the corpus, kept as dense arrays.  The longer orders are kept whole as
 well, in a table dealt by the last three symbols of the context: all that the probability of a key (a context of ORDER
 symbols and the symbol after it) needs lies in one part, where it is computed once for every key of the texts.  Tasks
@@ -29,7 +29,6 @@ ORDER, DENSE = 5, 3
 HELD_KEYS = 2_000_000
 #: Leads a key where it stands among words; no word holds a space, and a text's own row goes on in a digit or a minus.
 KEY_MARK = b" p"
-KEY_BITS = (1 << 6 * (ORDER + 1)) - 1
 
 
 def byte_symbols() -> np.ndarray:
@@ -51,6 +50,13 @@ def byte_symbols() -> np.ndarray:
 
 
 SYMBOL_OF = byte_symbols()
+#: Bytes of each symbol; A-Z are never met, as texts are lower-cased, and A stands for what is before a text.
+BYTES_OF = np.bincount(np.delete(SYMBOL_OF, np.arange(65, 91)), minlength=SYMBOLS)
+BEFORE = 65
+#: Set in keys of bytes, to tell them from keys of symbols.
+BYTE_KEY = 1 << 8 * (ORDER + 1)
+#: Bytes of the longest contexts that every task is sent.
+SENT = 2
 
 
 def positions(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +76,54 @@ def positions(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[keep], offsets + np.arange(n + 1)
 
 
+def byte_positions(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, texts): for each byte that shares its symbol the ORDER bytes before it and itself, and its text's number."""
+    lengths = np.diff(offsets)
+    at = np.arange(len(raw)) + np.repeat(np.arange(1, len(lengths) + 1) * ORDER, lengths)
+    padded = np.full(len(raw) + ORDER * len(lengths), BEFORE, np.int64)
+    padded[at] = raw
+    shared = BYTES_OF[SYMBOL_OF[raw]] > 1
+    at = at[shared]
+    keys = np.full(len(at), BYTE_KEY)
+    for k in range(ORDER + 1):
+        keys |= padded[at - k] << (8 * k)
+    return keys, np.repeat(np.arange(len(lengths)), lengths)[shared]
+
+
+def byte_log10(keys: np.ndarray, counts: np.ndarray, short: np.ndarray, short_counts: np.ndarray) -> np.ndarray:
+    """log10 probability of each key's last byte among its symbol's bytes after the bytes before it, by method C escapes
+    with exclusion down to equal shares.  keys: all with one context of SENT + 1 bytes; short: all of SENT bytes' context."""
+    of_class = lambda k: (k >> 8 << 6) | SYMBOL_OF[k & 255]
+    levels = []
+    for order in range(ORDER + 1):
+        all_keys, all_counts = (short, short_counts) if order <= SENT else (keys[counts > 0], counts[counts > 0])
+        leaf, at = np.unique(all_keys & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        count = np.bincount(at, all_counts, len(leaf))
+        lower = levels[-1][1][np.searchsorted(levels[-1][0], leaf & ((1 << 8 * order) - 1))] if order and len(leaf) else np.zeros(len(leaf))
+        context, at = np.unique(of_class(leaf), return_inverse=True)
+        levels.append((leaf, count, context, *(np.bincount(at, w, len(context)) for w in (count, np.ones(len(leaf)), lower))))
+    out, size = np.zeros(len(keys)), BYTES_OF[SYMBOL_OF[keys & 255]].astype(np.float64)
+    mass, number = np.zeros(len(keys)), np.zeros(len(keys))  # excluded from the order at hand
+    left = np.arange(len(keys))
+    for order in range(ORDER, -1, -1):
+        leaf, count, context, total, distinct, lower = levels[order]
+        if not len(leaf):
+            continue
+        own = keys[left] & ((1 << 8 * (order + 1)) - 1)
+        find = lambda table, k: (np.minimum(np.searchsorted(table, k), len(table) - 1))
+        at, place = find(context, of_class(own)), find(leaf, own)
+        here, hit = context[at] == of_class(own), leaf[place] == own
+        rest = np.where(here, total[at] - mass[left], 0.0)
+        escape = np.where(distinct[at] < size[left], distinct[at] - number[left], 0.0)
+        out[left[hit]] += np.log10(count[place[hit]] / (rest + escape)[hit])
+        miss = here & ~hit & (rest > 0)
+        out[left[miss]] += np.log10(escape[miss] / (rest + escape)[miss])
+        mass[left], number[left] = np.where(here, lower[at], 0.0), np.where(here, distinct[at], 0.0)
+        left = left[~hit]
+    out[left] -= np.log10(size[left] - number[left])
+    return out
+
+
 class Lookup:
     """Values of non-negative keys by open addressing."""
 
@@ -212,21 +266,13 @@ def log_probabilities(dense: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def byte_shares(counts: np.ndarray) -> np.ndarray:
-    """log10 of each byte's share among the bytes of its symbol, with one added to each count."""
-    upper = (np.arange(256) >= 65) & (np.arange(256) <= 90)  # never met: texts are lower-cased
-    c = np.where(upper, 0, counts + 1.0)
-    return np.log10(np.where(upper, 1, c) / np.bincount(SYMBOL_OF, c, SYMBOLS)[SYMBOL_OF])
-
-
-def _train(rows: DataFrame, head: list[bytes]) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, int]:
-    """(keys of all texts with their counts over the training texts, leaves of order DENSE, counts of bytes and of head
-    words, number of tokens)."""
+def _train(rows: DataFrame, head: list[bytes]) -> tuple[DataFrame, tuple[np.ndarray, ...], np.ndarray, int]:
+    """(keys of all texts with their counts over the training texts, leaves of symbols of order DENSE and of bytes of
+    order SENT, counts of head words, number of tokens)."""
     shared = rows.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(shared.value)}
-        by_byte = np.zeros(256, np.int64)
         words: Counter = Counter()
         tokens = 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -240,9 +286,10 @@ def _train(rows: DataFrame, head: list[bytes]) -> tuple[DataFrame, tuple[np.ndar
             for i, j in slices(offsets):
                 low = ascii_lower(raw[offsets[i] : offsets[j]])
                 lengths = np.diff(offsets[i : j + 1])
-                by_byte += np.bincount(low[np.repeat(learned[i:j], lengths)], minlength=256)
                 keys = positions(offsets[i : j + 1] - offsets[i], low)[0]
-                own = np.repeat(learned[i:j], lengths + 1)
+                byte_keys, text = byte_positions(offsets[i : j + 1] - offsets[i], low)
+                keys = np.concatenate([keys, byte_keys])
+                own = np.concatenate([np.repeat(learned[i:j], lengths + 1), learned[i:j][text]])
                 held.append(np.unique(keys[own], return_counts=True))
                 if not own.all():  # keys of held-out texts are listed, but not counted
                     other = np.unique(keys[~own])
@@ -258,27 +305,29 @@ def _train(rows: DataFrame, head: list[bytes]) -> tuple[DataFrame, tuple[np.ndar
                     words.update(filter(place.__contains__, found))
         if held:
             yield rows_of(0, *_merged(held))
-        yield rows_of(1, np.arange(256), by_byte)
         yield rows_of(2, np.array([place[w] for w in words]), np.array(list(words.values())))
         yield rows_of(3, np.zeros(1), np.array([tokens]))
 
     counted = checkpoint(rows.select("text", "held").mapInArrow(run, "kind int, key long, value long").groupBy("kind", "key").agg(F.sum("value").alias("value")).where("kind = 0 OR value > 0"))
     longest = counted.where("kind = 0").select("key", "value")
-    # The complete order has at most 64**4 leaves; they come to the driver.
-    table = longest.where("value > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 6 * (DENSE + 1)) - 1)).alias("key")).agg(F.sum("value").alias("value")).toArrow()
+    # The complete orders have at most 64**4 leaves of symbols and 256**3 of bytes; they come to the driver.
+    of_bytes = F.col("key") >= BYTE_KEY
+    short = F.when(of_bytes, F.col("key").bitwiseAND(F.lit((1 << 8 * (SENT + 1)) - 1))).otherwise(F.col("key").bitwiseAND(F.lit((1 << 6 * (DENSE + 1)) - 1)))
+    table = longest.where("value > 0").groupBy(of_bytes.alias("bytes"), short.alias("key")).agg(F.sum("value").alias("value")).toArrow()
     key, value = table["key"].to_numpy(), table["value"].to_numpy()
-    by_key = np.argsort(key)
-    dense = (key[by_key], value[by_key])
+    of = table["bytes"].to_numpy().astype(bool)
+    by_key = np.argsort(key[~of])
+    dense = (key[~of][by_key], value[~of][by_key], key[of], value[of])
     table = counted.where("kind > 0").toArrow()
     kind, key, value = (table[c].to_numpy() for c in ("kind", "key", "value"))
-    by_byte, by_word = np.zeros(256, np.int64), np.zeros(len(head), np.int64)
-    by_byte[key[kind == 1]] = value[kind == 1]
+    by_word = np.zeros(len(head), np.int64)
     by_word[key[kind == 2]] = value[kind == 2]
-    return longest, dense, by_byte, by_word, int(value[kind == 3].sum())
+    return longest, dense, by_word, int(value[kind == 3].sum())
 
 
-def _key_scores(longest: DataFrame, dense: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, value, log_p: log10 probability of each key's last symbol, with all counted contexts of all orders."""
+def _key_scores(longest: DataFrame, dense: tuple[np.ndarray, ...]) -> DataFrame:
+    """key, value, log_p: log10 probability of each key's last symbol (of a byte's key: of the byte among its
+    symbol's), with all counted contexts of all orders."""
     shared = longest.sparkSession.sparkContext.broadcast(dense)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +337,11 @@ def _key_scores(longest: DataFrame, dense: tuple[np.ndarray, np.ndarray]) -> Dat
         keys, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
         by_key = np.argsort(keys)
         keys, counts = keys[by_key], counts[by_key]
+        split = np.searchsorted(keys, BYTE_KEY)
+        if split < len(keys):
+            log_p = byte_log10(keys[split:] - BYTE_KEY, counts[split:], *shared.value[2:])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[split:]), pa.array(counts[split:]), pa.array(log_p)], ["key", "value", "log_p"])
+        keys, counts = keys[:split], counts[:split]
         leaves = []
         for order in range(DENSE + 1, ORDER + 1):
             own, at = np.unique(keys[counts > 0] & ((1 << 6 * (order + 1)) - 1), return_inverse=True)
@@ -299,7 +353,8 @@ def _key_scores(longest: DataFrame, dense: tuple[np.ndarray, np.ndarray]) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part]), pa.array(model.log10(keys[part]))], ["key", "value", "log_p"])
 
     # Contexts of the longer orders that end in the same DENSE symbols meet in one part.
-    return longest.repartition(F.shiftright("key", 6).bitwiseAND(F.lit(SYMBOLS**DENSE - 1))).mapInArrow(run, "key long, value long, log_p double")
+    of_bytes = F.col("key") >= BYTE_KEY
+    return longest.repartition(of_bytes, F.when(of_bytes, F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (SENT + 1)) - 1))).otherwise(F.shiftright("key", 6).bitwiseAND(F.lit(SYMBOLS**DENSE - 1)))).mapInArrow(run, "key long, value long, log_p double")
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -327,16 +382,16 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
     learn = rows.where(~F.col("held"))
     sample = Counter(w for r in learn.select("text").limit(sample_rows).toArrow()["text"].to_pylist() if r for w in r.encode().lower().split())
     head = [w for w, c in sample.most_common(head_words) if c > 1]
-    longest, dense, by_byte, by_word, n = _train(rows, head)
+    longest, dense, by_word, n = _train(rows, head)
     ends = learn.count()
     keys = checkpoint(_key_scores(longest, dense))
     top = keys.orderBy(F.desc("value"), "key").limit(head_keys).toArrow()
     top_key, top_value, top_log = (top[c].to_numpy() for c in ("key", "value", "log_p"))
-    shared = rows.sparkSession.sparkContext.broadcast((top_key, top_log, by_byte, head, by_word))
+    shared = rows.sparkSession.sparkContext.broadcast((top_key, top_log, head, by_word))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, top_log, _, head, by_word = shared.value
-        table, share = _tables(shared.value)
+        _, top_log, head, by_word = shared.value
+        table = _tables(shared.value)
         known = dict(zip(head, np.log10(by_word + 1.0).tolist(), strict=True))
         for batch in batches:
             offsets, raw = buffers(batch.column(1))
@@ -345,14 +400,16 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
                 low = ascii_lower(raw[offsets[i] : offsets[j]])
                 at = offsets[i : j + 1] - offsets[i]
                 place, ends_at = positions(at, low)
+                byte_place, byte_text = byte_positions(at, low)
+                place = np.concatenate([place, byte_place])
+                text = np.concatenate([np.repeat(np.arange(j - i), np.diff(ends_at)), byte_text])
                 found_at = table.find(place)
-                ppm = np.add.reduceat(np.where(found_at >= 0, top_log[found_at] if len(top_log) else 0.0, 0.0), ends_at[:-1])
-                rare = np.flatnonzero(found_at < 0)
+                ppm = np.bincount(text, np.where(found_at >= 0, top_log[found_at] if len(top_log) else 0.0, 0.0), j - i)
                 # (text, key) of the keys that are not in the head, each once with its number.
-                pairs, rare_times = np.unique((np.searchsorted(ends_at, rare, "right") - 1 << 6 * (ORDER + 1)) | place[rare], return_counts=True)
-                rare_first = np.searchsorted(pairs, np.arange(j - i + 1) << 6 * (ORDER + 1))
-                shares = np.concatenate([[0.0], np.cumsum(share[low])])
-                ppm += shares[at[1:]] - shares[at[:-1]]
+                rare = np.flatnonzero(found_at < 0)
+                rare_keys, rare_at = np.unique(place[rare], return_inverse=True)
+                pairs, rare_times = np.unique(text[rare] * max(1, len(rare_keys)) + rare_at, return_counts=True)
+                rare_first = np.searchsorted(pairs, np.arange(j - i + 1) * max(1, len(rare_keys)))
                 blob = low.tobytes()
                 doc: list[int] = []
                 word: list[bytes] = []
@@ -375,7 +432,7 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
                     doc += [k] * (tail + b - a + 1)
                     learned += [0] * tail if held[k] else times[first:]
                     learned += [0] * (b - a + 1)
-                    word += [KEY_MARK + x.to_bytes(8, "big") for x in (pairs[a:b] & KEY_BITS).tolist()]
+                    word += [KEY_MARK + x.to_bytes(8, "big") for x in rare_keys[pairs[a:b] % max(1, len(rare_keys))].tolist()]
                     times += rare_times[a:b].tolist()
                     # The text's own row; no word holds a space, so its key is its own.
                     word.append(b" %d" % hashes[k])
@@ -431,15 +488,15 @@ _KEPT: list = []
 _DENSE: list = []
 
 
-def _tables(model: tuple) -> tuple[Lookup, np.ndarray]:
-    """The finished tables, made once a worker process and model."""
+def _tables(model: tuple) -> Lookup:
+    """The finished table, made once a worker process and model."""
     if not _KEPT or _KEPT[0] is not model:
-        _KEPT[:] = [model, Lookup(model[0]), byte_shares(model[2])]
-    return _KEPT[1], _KEPT[2]
+        _KEPT[:] = [model, Lookup(model[0])]
+    return _KEPT[1]
 
 
-def _dense_trie(leaves: tuple[np.ndarray, np.ndarray]) -> Trie:
+def _dense_trie(leaves: tuple[np.ndarray, ...]) -> Trie:
     """The trie of the complete orders, made once a worker process and model."""
     if not _DENSE or _DENSE[0] is not leaves:
-        _DENSE[:] = [leaves, Trie([leaves])]
+        _DENSE[:] = [leaves, Trie([leaves[:2]])]
     return _DENSE[1]

@@ -14,7 +14,7 @@ from loomstream.llm import langid
 from loomstream.llm.bpe_fst import default_tokenizer_path
 from loomstream.llm.exact_dedup import exact_dedup
 from loomstream.llm.jaccard_join import jaccard_components
-from loomstream.llm.lm_scoring import DENSE, ORDER, Trie, byte_shares, lm_scores, positions
+from loomstream.llm.lm_scoring import BYTE_KEY, BYTES_OF, DENSE, ORDER, SENT, SYMBOL_OF, Trie, byte_log10, byte_positions, lm_scores, positions
 from loomstream.llm.mixing import mix
 from loomstream.llm.packing import Bins, pack_documents, pack_lengths
 from loomstream.llm.pii import pseudonymise
@@ -234,12 +234,35 @@ def test_lm_scores_use_every_leaf(docs, rows, head_keys):
     at = lambda ts: positions(np.cumsum([0, *map(len, ts)]), np.frombuffer(b"".join(ts), np.uint8))
     keys = at(learn)[0]
     model = Trie([np.unique(keys & ((1 << 6 * (order + 1)) - 1), return_counts=True) for order in range(DENSE, ORDER + 1)])
-    share = byte_shares(np.bincount(np.frombuffer(b"".join(learn), np.uint8), minlength=256))
-    want = {r[0]: model.log10(at([t])[0]).sum() + share[list(t)].sum() for r, t in zip(rows, texts, strict=True)}
+    bytes_at = lambda ts: byte_positions(np.cumsum([0, *map(len, ts)]), np.frombuffer(b"".join(ts), np.uint8))[0] - BYTE_KEY
+    counts = collections.Counter(bytes_at(learn).tolist())
+    every = np.unique(bytes_at(texts))
+    short = np.unique(bytes_at(learn) & ((1 << 8 * (SENT + 1)) - 1), return_counts=True)
+    among = dict(zip(every.tolist(), byte_log10(every, np.array([counts[k] for k in every.tolist()]), *short), strict=True))
+    want = {r[0]: model.log10(at([t])[0]).sum() + sum(among[k] for k in bytes_at([t]).tolist()) for r, t in zip(rows, texts, strict=True)}
     out = lm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, head_keys=head_keys).collect()
     assert len(out) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 * max(1, -want[r["doc_id"]]) for r in out)
 
 
+def test_bytes_of_a_symbol_are_a_distribution():
+    raw = np.frombuffer("tel 120 121 12 über ähnlich 日本語 #$ 99 | 1200".encode() * 3, np.uint8)
+    keys = byte_positions(np.array([0, 40, 40, len(raw)]), raw)[0] - BYTE_KEY
+    short = np.unique(keys & ((1 << 8 * (SENT + 1)) - 1), return_counts=True)
+    alike = np.array([b for b in range(256) if not 65 <= b <= 90])
+    for key in {*keys.tolist(), *(keys ^ 1 << 16).tolist(), *(keys ^ 1 << 40).tolist()}:
+        among = (key >> 8 << 8) | alike[SYMBOL_OF[alike] == SYMBOL_OF[key & 255]]
+        asked = np.unique(np.concatenate([keys, among]))
+        counts = np.array([(keys == k).sum() for k in asked])
+        p = 10 ** byte_log10(asked, counts, *short)[np.isin(asked, among)]
+        assert len(p) == BYTES_OF[SYMBOL_OF[key & 255]] and abs(p.sum() - 1) < 1e-9
+
+
+def test_lm_scores_tell_folded_bytes_by_context(spark):
+    texts = [(i, t) for i, t in enumerate(["call 1234 now", "日本 äö | # a"] * 20 + ["call 1234 now", "call 4321 now", "日本 äö | # a", "日本 öä # | a"])]
+    score = {r["doc_id"]: r["score"] for r in lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") >= 40).collect()}
+    assert score[40] > score[41] + 3 and score[42] > score[43] + 1
+
+
 def test_langid(spark, docs, empty):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
