@@ -10,7 +10,7 @@ RAW = {
     "orders": """raw AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS transaction_hash, CAST(l_linenumber AS BIGINT) AS log_index, l_orderkey AS block_number, l_shipdate AS block_timestamp, printf('0x%040x', o_custkey) AS from_address,
     printf('0x%040x', l_suppkey) AS to_address, CAST(round(l_extendedprice * 1000000) AS BIGINT) AS raw_amount, l_extendedprice AS amount, l_shipdate AS ingested_at, 'orders' AS source
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < TIMESTAMP '2000-06-15')""",
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
 }
 
 CTES = {

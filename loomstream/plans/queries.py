@@ -250,7 +250,13 @@ def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.segment_counts(log, plan)
 
 
-register("segment_integrity", _integrity, "SELECT lo AS start_block, least(lo + 499, 9999) AS end_block, count(event_id) AS row_count FROM range(0, 10000, 500) t(lo) LEFT JOIN events ON event_id BETWEEN lo AND least(lo + 499, 9999) GROUP BY 1, 2")
+register(
+    "segment_integrity",
+    _integrity,
+    """SELECT lo AS start_block, least(lo + 499, hi) AS end_block, count(event_id) AS row_count
+FROM (SELECT unnest(range(s, hi + 1, 500)) AS lo, hi FROM (SELECT CAST(least(0, floor(coalesce(min(event_id), 0) / 500.0) * 500) AS BIGINT) AS s, greatest(9999, coalesce(max(event_id), 0)) AS hi FROM events))
+LEFT JOIN events ON event_id BETWEEN lo AND least(lo + 499, hi) GROUP BY 1, 2""",
+)
 register("window_cut", lambda s, d: segments.window_rows(adapters.events_log(s, d), 100, 399).select("block_number", "log_index", "transaction_hash", "amount"), model_sql("events", "SELECT block_number, log_index, transaction_hash, amount FROM raw WHERE block_number BETWEEN 100 AND 399"))
 register(
     "decode_hex_address",
