@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -19,7 +21,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -28,6 +33,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or what is behind underscores in front of it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def select_as(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under fixed names: extra or clashing columns of the input never reach an operator."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
@@ -42,7 +55,7 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> Dat
     dropped rows is broadcast, after it is counted; else both sides are shuffled with the list as the hashed side."""
     dropped = dropped.select(*(F.col(k).alias(f"_drop_{k}") for k in keys))
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped.hint("shuffle_hash")
-    match = [c.eqNullSafe(F.col(f"_drop_{k}")) for k, c in keys.items()]
+    match = [c.eqNullSafe(dropped[f"_drop_{k}"]) for k, c in keys.items()]
     test = match[0]
     for m in match[1:]:
         test = test & m
@@ -82,5 +95,16 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
 def ascii_lower(raw: np.ndarray) -> np.ndarray:
-    return np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
+    return LOWER[raw]
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker process is used again by the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import BROADCAST_ROWS, ascii_lower, buffers, checkpoint, select_as, slices
+from .common import BROADCAST_ROWS, ascii_lower, buffers, checkpoint, release, select_as, slices
 from .components import connected_components
 from .suffix_dedup import MIX, _mixed
 
@@ -40,25 +40,48 @@ BLOCK_SHINGLES, LEAF = 1_000_000, 64
 #: How much longer heads are than the radius asks for, as a share of the set in percent.  It changes no result.
 MARGIN = 10
 #: Ids of sets that a task remembers having sent.
-MOST_SEEN = 1_000_000
-#: A shingle this frequent goes to the end of the order; at most so many are known to be.  Neither changes a result.
+MOST_SEEN = 100_000
+#: A shingle this frequent goes to the end of the order; at most so many (by 32 bits of their hash) are known to be.
+#: Neither changes a result.
 FREQUENT, MOST_FREQUENT = 2, 2_000_000
-
-
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the words of lower-cased bytes; a word is a maximal run without ASCII white space."""
-    word = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-    edge = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+#: Bytes that words are cut from at once, and bytes of texts whose sets are made at once.
+STEP, SLICE = 1 << 17, 1 << 20
+#: Parts that a component's rows are dealt to, so that no component is one task's.
+SALTS = 16
+WHITE = np.zeros(256, np.int8)
+WHITE[[9, 10, 11, 12, 13, 32]] = 1
+
+
+def _hashes_of_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    white = WHITE[raw]
+    # begin: 1 at the first byte of a word; end: -1 behind its last one.
+    edge = np.diff(white, prepend=np.int8(1), append=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
         return start, np.zeros(0, np.uint64)
     # A word's hash: the sum of its bytes' hashes by place in the word.
-    place = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw)))) if start[0] == 0 else np.arange(len(raw)) - np.concatenate([np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(raw))))])
-    each = _mixed(place.astype(np.uint64) * np.uint64(256) + raw + np.uint64(1 << 40))
-    each[~word] = 0
+    begin = np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(raw)]])))
+    each = _mixed(((np.arange(len(raw)) - begin) * 256 + raw + (1 << 40)).view(np.uint64))
+    each[white.view(bool)] = 0
     return start, _mixed(np.add.reduceat(each, start) + (end - start).astype(np.uint64))
 
 
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of lower-cased bytes; a word is a maximal run without ASCII white space.  Bytes are
+    taken in steps that end in white space, so that a long text needs little more memory than its words' hashes."""
+    starts, hashes, at = [], [], 0
+    while at < len(raw):
+        end = at + STEP
+        while end < len(raw) and not (white := np.flatnonzero(WHITE[raw[end : end + STEP]])).size:
+            end += STEP
+        end = min(len(raw), end + int(white[0])) if end < len(raw) else len(raw)
+        start, own = _hashes_of_words(raw[at:end])
+        starts.append(start + at)
+        hashes.append(own)
+        at = end
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def shingle_sets(offsets: np.ndarray, raw: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Each text's set of hashes of its n-word shingles, sorted; with fewer words the whole sequence, empty without."""
     low = ascii_lower(raw)
@@ -194,48 +217,51 @@ class Region:
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, set_id, text_hash (of the text as it is).
+    """One row a row of docs: doc_id, n_shingles, component_id, component, set_id, text_hash (of the text as it is).
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space.  A text's set is its distinct `words`-word
     shingles, the whole sequence if it has fewer words.  Two documents link when the shared shingles are at least
     `percent` of all shingles of the two; component_id is the smallest doc_id that links reach, the row's own included.
     Texts without words (null ones too) have an empty set and link with nothing.  Equal sets are one class with one
     set_id (0: empty), so copies are joined once and repeated rows share a component.  Null ids take part but are never
-    a component's id unless all its ids are null.  No rows give no rows; further columns of docs are ignored.
+    a component's id unless all its ids are null; component (a set's id) tells components apart in any case.  No rows give no rows; further columns of docs are ignored.
     Shingles and sets are compared by 64-bit hashes.
     """
     rows = select_as(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
 
-    def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, raw = buffers(batch.column(0))
-            kept = [s for i, j in slices(offsets) for s in shingle_sets(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], words)]
-            shingle, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
-
-    counted = rows.select("text").mapInArrow(recurring, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = spark.sparkContext.broadcast(np.sort(counted.orderBy(F.desc("n"), "shingle").select("shingle").limit(MOST_FREQUENT).toArrow()["shingle"].to_numpy().view(np.uint64)))
-
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row a text, and behind them a row for each shingle (32 bits of it) that recurs among the batch's texts.
+        names = ["doc_id", "n_shingles", "set_id", "text_hash", "shingle"]
         for batch in batches:
             offsets, raw = buffers(batch.column(1))
-            n, ids = [], []
-            for i, j in slices(offsets):
+            n, ids, low = [], [], []
+            for i, j in slices(offsets, SLICE):
                 for s in shingle_sets(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], words):
                     n.append(len(s))
                     ids.append(set_id(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2)], ["doc_id", "n_shingles", "set_id", "text_hash"])
-
-    narrow = checkpoint(rows.mapInArrow(classes, f"doc_id {kind}, n_shingles long, set_id long, text_hash long"))
+                    low.append(s.astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), batch.column(2), pa.nulls(len(n), pa.int64())], names)
+            flat = np.concatenate(low) if low else np.zeros(0, np.uint32)
+            low.clear()
+            flat.sort()
+            shingle, times = np.unique(flat[1:][flat[1:] == flat[:-1]].astype(np.int64), return_counts=True)
+            del flat
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(times), batch.column(0).type), pa.array(times + 1, pa.int64()), pa.nulls(len(times), pa.int64()), pa.nulls(len(times), pa.int64()), pa.array(shingle)], names)
+        release()
+
+    first = checkpoint(rows.mapInArrow(read, f"doc_id {kind}, n_shingles long, set_id long, text_hash long, shingle long"))
+    narrow = first.where("shingle IS NULL").drop("shingle")
+    counted = first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= FREQUENT)
+    frequent = spark.sparkContext.broadcast(np.sort(counted.orderBy(F.desc("n"), "shingle").select("shingle").limit(MOST_FREQUENT).toArrow()["shingle"].to_numpy().astype(np.uint32)))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = frequent.value
         seen: set[int] = set()
         for batch in batches:
             offsets, raw = buffers(batch.column(0))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 heads, ids, sizes = [], [], []
                 for s in shingle_sets(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], words):
                     own = set_id(s)
@@ -248,13 +274,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     # Linked sets share over MARGIN % of the smaller one's size among their heads (see `least`).
                     head = n * (100 - percent) // 100 + n * MARGIN // 100 + 1
                     if len(last):
-                        common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                        low = s.astype(np.uint32)
+                        common = last[np.minimum(np.searchsorted(last, low), len(last) - 1)] == low
                         s = np.concatenate([s[~common], s[common]])
                     heads.append(s[:head])
                     ids.append(np.full(len(heads[-1]), own))
                     sizes.append(np.full(len(heads[-1]), n, np.int32))
                 if heads:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["shingle", "set_id", "n"])
+        release()
 
     # In a cell, by size, members meet only through a chain of sizes that a link can span.
     by_size = Window.partitionBy("shingle").orderBy("n")
@@ -287,7 +315,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             offsets, raw = buffers(batch.column(1))
             want = batch.column(0).to_pylist()
             found, out = [], []
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 for k, s in enumerate(shingle_sets(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]], words), i):
                     if set_id(s) == want[k]:  # rows that share an id may have other texts
                         found.append(want[k])
@@ -334,8 +362,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield finish()
 
     links = regions.select("pivot", "i", "j", "own", "set_id", "shingles").mapInArrow(join, "a long, b long")
-    component = connected_components(links)
-    named = narrow.join(component, narrow["set_id"] == component["node"], "left").select("doc_id", "n_shingles", "set_id", "text_hash", F.coalesce("component", "set_id").alias("component"))
-    least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_id", "text_hash")
+    component = checkpoint(connected_components(links).select(F.col("node").alias("set_id"), "component"))
+    frequent.destroy()
+    # A component's smallest document: by set first, and dealt to SALTS parts where it goes back to the sets.
+    of_set = narrow.groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    of_component = of_set.join(component, "set_id").groupBy("component").agg(F.min("least").alias("component_id"))
+    salted = of_component.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = component.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).cast("int")).join(salted, ["component", "salt"]).select("set_id", "component", "component_id")
+    # A set without links is its own component; copies share it.
+    alone = of_set.join(component, "set_id", "left_anti")
+    out = narrow.join(named.unionByName(alone.select("set_id", F.col("set_id").alias("component"), F.col("least").alias("component_id"))), "set_id", "left")
+    empty = F.col("n_shingles") == 0
+    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "set_id", "text_hash")

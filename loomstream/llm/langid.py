@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import select_as
+from .common import release, select_as
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose scores a worker keeps; beyond it the memory is cleared.
@@ -26,16 +26,21 @@ def grams(word: str, n: int) -> list[str]:
 class WordScores:
     """Log frequencies of words (the first table) and of n-grams (by n), and the rows of scores of the words met so far.
 
-    A table is the rows' numbers by name and a row of one score a language each.
+    A table is the rows' numbers by name and a row of one score a language each.  A word's row has a score a language,
+    1 if the word has a letter, and then how well it is known: 1 as a word, else the share of its n-grams of the
+    longest order that the model knows.  floor is the share of a text's words that must be known for its language to
+    be recognised.
     """
 
+    floor = 0.0
+
     def __init__(self, langs: list[str], tables: list[tuple[dict[str, int], np.ndarray]], backoff: float) -> None:
         self.langs, self.tables, self.backoff = langs, tables, backoff
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.langs) + 1))
+        self.table = np.zeros((1024, len(self.langs) + 2))
 
     def meet(self, new: list[str]) -> None:
         """Score words that have no row yet, all together."""
@@ -45,16 +50,19 @@ class WordScores:
         self.row.update(zip(new, range(begin, end), strict=True))
         scored = self.table[begin:end]
         left = [i for i, w in enumerate(new) if any(map(str.isalpha, w))]
-        scored[left, -1] = 1
+        scored[left, -2] = 1
         index, values = self.tables[0]
         known = [i for i in left if new[i] in index]
-        scored[known, :-1] = values[[index[new[i]] for i in known]]
+        scored[known, -1] = 1
+        scored[known, :-2] = values[[index[new[i]] for i in known]]
         left = [i for i in left if new[i] not in index]
         for n in range(len(self.tables) - 1, 0, -1):
             index, values = self.tables[n]
             at, done, sizes, rest = [], [], [], []
             for i in left:
                 found = [k for g in grams(new[i], n) if (k := index.get(g)) is not None]
+                if n == len(self.tables) - 1:
+                    scored[i, -1] = len(found) / max(1, len(new[i]) + 3 - n)
                 if found:
                     at += found
                     done.append(i)
@@ -63,7 +71,7 @@ class WordScores:
                     rest.append(i)
             if done:
                 each = np.array(sizes)
-                scored[done, :-1] = np.add.reduceat(values[at], np.cumsum(each) - each) / each[:, None] + (len(self.tables) - n) * self.backoff
+                scored[done, :-2] = np.add.reduceat(values[at], np.cumsum(each) - each) / each[:, None] + (len(self.tables) - n) * self.backoff
             left = rest
 
     def rows(self, words: list[str]) -> np.ndarray:
@@ -74,19 +82,23 @@ class WordScores:
         return self.table[out]
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_rows: int = 4000, n: int = 4, backoff: float = -0.5, least: int = 2) -> WordScores | None:
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_rows: int = 4000, n: int = 4, backoff: float = -0.5, least: int = 2, check_rows: int = 0) -> WordScores | None:
     """A classifier fitted on a sample of the labelled rows; None when there are none.
 
     most_rows bounds the sample (in expectation: rows are chosen by a hash of their id, by which all are alike) and
     with it the size of the model that every task is sent.  Words and n-grams seen fewer than `least` times are left
-    out of a model of over 100 rows.
+    out.  Rows without text or language teach nothing; repeated rows count as often as they are there.
+
+    With `check_rows` the model's floor is fitted as well: half of what the least known hundredth of as many other
+    labelled rows has (of the same rows where there are no others).
     """
     rows = select_as(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL")
     count = rows.count()
     if not count:
         return None
-    if count > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) < int(most_rows / count * (1 << 30)))
+    place_of, end = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)), int(min(1, most_rows / count) * (1 << 30))
+    others = rows.where((place_of >= end) & (place_of < end + int(min(1, check_rows / count) * (1 << 30))))
+    rows = rows.where(place_of < end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -105,7 +117,6 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         langs, orders, keys = zip(*counts, strict=True) if counts else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "n", "gram", "c"])
 
-    least = least if count > 100 else 1
     counted = rows.select("text", "lang").mapInArrow(run, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     by_gram = counted.groupBy("n", "gram").agg(F.collect_list(F.struct("lang", "c")).alias("of"), F.sum("c").alias("all")).where(F.col("all") >= least)
     table = by_gram.select("n", "gram", "of").toArrow()
@@ -123,43 +134,51 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
             for x in of:
                 c[i, place[x["lang"]]] += x["c"]
         tables.append(({name: i for i, name in enumerate(names)}, np.log(c / c.sum(0))))
-    return WordScores(langs, tables, backoff)
+    model = WordScores(langs, tables, backoff)
+    if check_rows:
+        known = predict(others if count > most_rows else rows, model).agg(F.percentile_approx("known", 0.01, 1000)).first()[0]
+        model.floor = (known or 0.0) / 2
+    return model
 
 
-def predict(docs: DataFrame, model: WordScores | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows with lang_pred and score (0 to 1) behind their own columns, read from the text alone.
+def predict(docs: DataFrame, model: WordScores | None, *, text_col: str = "text", names: Sequence[str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """docs' rows with lang_pred, score and known (both 0 to 1) behind their own columns, read from the text alone; names
+    gives the three other names, and columns of docs that have them are replaced.
 
     A text scores for each language the sum over its words of the word's log frequency there; a word that the model
     does not know takes the mean of its known character n-grams of the longest order that has one, less a penalty for
     each order given up.  score is the posterior of the best language under equal priors; ties go to the language
-    first in order.  lang_pred is `und` with score 0 where the text is null or has no letter, or nothing was learned.
+    first in order.  known is the mean over its words of how well they are known.  lang_pred is `und` with score 0 where the text is null or has no letter, or nothing was learned.
     Whole texts are read, in a narrow map; repeated rows are scored alike; no rows give no rows.
     """
-    kept = docs.drop("lang_pred", "score")
-    names = kept.columns
-    at = names.index(text_col)
+    kept = docs.drop(*names)
+    own = kept.columns
+    at = own.index(text_col)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((model.langs, model.tables, model.backoff)) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(*shared.value) if shared else None
         for batch in batches:
-            langs, values = [], []
+            langs, values, shares = [], [], []
             for text in batch.column(at).to_pylist():
                 words = WORD.findall(text.lower()) if text and scores else []
                 if not words:
                     langs.append("und")
                     values.append(0.0)
+                    shares.append(0.0)
                     continue
-                total = np.zeros(len(scores.langs) + 1)
+                total = np.zeros(len(scores.langs) + 2)
                 for i in range(0, len(words), 50_000):
                     total += scores.rows(words[i : i + 50_000]).sum(0)
                     if len(scores.row) > KEPT_WORDS:
                         scores.clear()
-                best = int(np.argmax(total[:-1])) if total[-1] else -1
+                best = int(np.argmax(total[:-2])) if total[-2] else -1
                 langs.append(scores.langs[best] if best >= 0 else "und")
-                values.append(float(1 / np.exp(total[:-1] - total[best]).sum()) if best >= 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(values, pa.float64())], [*names, "lang_pred", "score"])
+                values.append(float(1 / np.exp(total[:-2] - total[best]).sum()) if best >= 0 else 0.0)
+                shares.append(float(total[-1] / total[-2]) if best >= 0 else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(values, pa.float64()), pa.array(shares, pa.float64())], [*own, *names])
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` double")

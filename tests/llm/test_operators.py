@@ -15,7 +15,7 @@ from loomstream.llm.bpe_fst import default_tokenizer_path
 from loomstream.llm.exact_dedup import exact_dedup
 from loomstream.llm.jaccard_join import jaccard_components
 from loomstream.llm.lm_scoring import BYTE_KEY, BYTES_OF, DENSE, ORDER, SENT, SYMBOL_OF, Trie, byte_log10, byte_positions, lm_scores, positions
-from loomstream.llm.mixing import mix
+from loomstream.llm.mixing import marginals, mix
 from loomstream.llm.packing import Bins, pack_documents, pack_lengths
 from loomstream.llm.pii import pseudonymise
 from loomstream.llm.suffix_dedup import remove_repeats
@@ -266,9 +266,13 @@ def test_lm_scores_tell_folded_bytes_by_context(spark):
 def test_langid(spark, docs, empty):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    model = langid.train(real.where(~held))
+    model = langid.train(real.where(~held), check_rows=500)
     found = langid.predict(real.where(held).select("doc_id", "text"), model).join(real.select("doc_id", "lang"), "doc_id")
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
+    clean = langid.predict(real.where(held), model)
+    assert clean.where(F.col("known") < model.floor).isEmpty()
+    strange = spark.createDataFrame([("Zqxj vvkq xqzz jjqk wxyz qqqq vxkj bnmpt",), ("これは日本語の文章です まだ続きます",), ("12 + 3 = 15",)], "text string")
+    assert [r["known"] < model.floor for r in langid.predict(strange, model).collect()] == [True] * 3
     out = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
     assert [out[i]["lang_pred"] for i in (0, 1, 2)] == ["und"] * 3 and out[0]["score"] == 0
     assert all(0 <= r["score"] <= 1 for r in out.values())
@@ -290,18 +294,70 @@ def test_topk(spark):
     assert exact_topk(df.limit(0), df).count() == 0
 
 
+def brute_mix(rows, budget, temper=0.5, rounds=60):
+    """The probability of each (source, lang, topic): dual scaling of capped cells, plainly."""
+    import re
+
+    def topic(t):
+        for name, test in (("table", " | " in t), ("noise", re.search("[#$%&*]{3}", t)), ("numeric", re.search("[0-9]{6}", t)), ("note", len(t.encode()) < 600)):
+            if test:
+                return name
+        return "prose"
+
+    cells = collections.Counter()
+    for r in rows:
+        cells[r[3], r[2], topic(r[1] or "")] += max(1, (len((r[1] or "").encode()) + 3) // 4)
+    want = {c: budget * n for c, n in cells.items()}
+    aims = []
+    for d in range(3):
+        has = collections.Counter()
+        for c, n in cells.items():
+            has[c[d]] += n
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(n, level * n**temper) for n in has.values()) < budget * sum(has.values()) else (low, level)
+        aims.append({k: min(n, low * n**temper) for k, n in has.items()})
+    for _ in range(rounds):
+        for d, aim in enumerate(aims):
+            for k, x in aim.items():
+                own = [c for c in cells if c[d] == k]
+                low, high = 0.0, 1e9  # the factor by bisection
+                for _ in range(100):
+                    f = (low + high) / 2
+                    low, high = (f, high) if sum(min(cells[c], f * want[c]) for c in own) < x * (1 - 1e-12) else (low, f)
+                for c in own:
+                    want[c] *= high
+    return {c: min(1.0, want[c] / n) for c, n in cells.items()}, topic
+
+
 def test_mix(spark, docs, rows, empty):
-    out = mix(docs, rounds=30)
-    assert out.count() == len(rows) and mix(empty).count() == 0
-    cells = out.select("mix_source", "mix_lang", "mix_topic", "mix_weight").distinct()
-    aims = out.groupBy("mix_source").agg(F.pow(F.sum("mix_tokens").cast("double"), F.lit(0.5)).alias("a"))
-    whole = aims.agg(F.sum("a")).first()[0]
-    got = {r[0]: r[1] for r in cells.groupBy("mix_source").agg(F.sum("mix_weight")).collect()}
-    assert all(abs(got[r["mix_source"]] - r["a"] / whole) < 0.02 for r in aims.collect())
-    kept = out.agg(F.sum(F.col("mix_tokens") * F.col("mix_probability")) / F.sum("mix_tokens")).first()[0]
-    assert abs(kept - 0.5) < 0.01
-    fixed = mix(docs, targets={"lang": {"en": 3.0, "de": 1.0}}, rounds=30).where("mix_lang = '(none)'")
-    assert fixed.agg(F.max("mix_probability")).first()[0] == 0
+    assert mix(empty).count() == 0
+    for budget in (0.5,):
+        want, topic = brute_mix(rows, budget)
+        out = mix(docs, budget=budget, rounds=8).collect()
+        assert len(out) == len(rows)
+        got = {(r["mix_source"], r["mix_lang"], r["mix_topic"]): r["mix_probability"] for r in out}
+        assert got.keys() == want.keys() and all(abs(got[c] - p) < 0.01 for c, p in want.items())
+        assert {r["doc_id"]: r["mix_topic"] for r in out} == {r[0]: topic(r[1] or "") for r in rows}
+        n = sum(r["mix_tokens"] for r in out)
+        assert abs(sum(r["mix_tokens"] * r["mix_probability"] for r in out) - budget * n) < 0.01 * n and out[0]["mix_residual"] < 0.01
+    fixed = mix(docs, targets={"lang": {"en": 3.0, "de": 1.0}}, budget=0.1, rounds=8)
+    assert fixed.where("mix_lang IS NULL").agg(F.max("mix_probability")).first()[0] == 0
+    kept = {r["category"]: r["expected"] for r in marginals(fixed).where("dimension = 'lang'").collect()}
+    assert abs(kept["en"] / kept["de"] - 3) < 0.05
+
+
+def test_mix_keeps_what_it_promises(spark):
+    data = [(i, f"s{i % 7}", "en" if i % 5 else "de", "word " * (10 + i % 90)) for i in range(20000)]
+    out = mix(spark.createDataFrame(data, "doc_id long, source string, lang string, text string"), budget=0.3, rounds=4)
+    share = {}
+    for column in ("tokens", "expected", "kept"):
+        by = {r["category"]: r[column] for r in marginals(out).where("dimension = 'lang'").collect()}
+        share[column] = by["de"] / sum(by.values())
+    root = share["tokens"] ** 0.5
+    aim = root / (root + (1 - share["tokens"]) ** 0.5)
+    assert abs(aim - share["tokens"]) > 0.1 and abs(share["expected"] - aim) < 1e-4 and abs(share["kept"] - aim) < 0.02
 
 
 def test_pii(spark, empty):
@@ -330,11 +386,15 @@ def test_feistel_is_a_permutation(spark):
     assert {(r["l"], r["r"]) for r in grid} == {(a, b) for a in range(7) for b in range(13)}
 
 
+CLASHING = {"mix_kept": "mix_kept", "_mix_topic": "topic", "lang_pred": "mine", "known": "7", "component_id": "8", "_drop_doc_id": "9", "text_sha256": "0"}
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "mixing", "packing"]
-    for start in (docs.select("doc_id", "text", "lang", "source", "n_chars"), empty.select("doc_id", "text", "lang", "source", "n_chars")):
+    more = {c: F.lit(v) for c, v in CLASHING.items()}
+    for start in (docs.withColumns(more), empty.withColumns(more)):
         now, columns = start, start.columns
         for name, stage in corpus_pipeline.STAGES:
             before = now.count()
@@ -343,5 +403,56 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
             now = spark.read.parquet(out)
             if name != "packing":
                 assert now.columns == columns and now.count() <= before
+                # Clashing columns keep their values.
+                assert now.where("score <> 0.5 OR hash <> 'h' OR " + " OR ".join(f"{c} <> '{v}'" for c, v in CLASHING.items())).isEmpty()
             if name == "exact_dedup":
                 assert now.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).distinct().count() == now.count()
+
+
+def test_near_copies_without_an_id_of_their_own(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join(base[:-1] + [f"x{k}"])
+    rows = [(None, near(1)), (None, near(2)), (None, "alone"), (None, None), (None, ""), (3, "other text of some length here"), (3, near(4)), (3, near(4)), (3, near(5))]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    texts = [r["text"] for r in out]
+    assert len(out) == 5 and sum(t in {near(k) for k in (1, 2, 4, 5)} for t in texts) == 1 and {None, "", "alone", "other text of some length here"} <= set(texts)
+    assert [r["doc_id"] for r in out if r["text"] in (near(4), near(5))] == [3]
+
+
+def test_pipeline_against_brute_force(spark, rows, tmp_path):
+    import re
+
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    by_id = {r[0]: r for r in rows}
+    known = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert not known & {0, 1, 2} and {i for i, r in by_id.items() if len((r[1] or "").split()) > 20 and i is not None} <= known
+    left = [by_id[i] for i in sorted((i for i in known), key=lambda i: (i is None, i))]
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t)
+    left = list({norm(r[1]): r for r in reversed(left)}.values())[::-1]
+
+    def shingles(text):
+        words = text.encode().lower().split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [shingles(r[1]) for r in left]
+    group = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    left = [r for i, r in enumerate(left) if i == min(k for k in range(len(left)) if group[k] == group[i])]
+    probability, topic = brute_mix(left, 0.8)
+    draw = lambda i: int(hashlib.sha256(f"mix:{'' if i is None else i}".encode()).hexdigest()[:8], 16) / 2**32
+    kept = {r[0] for r in left if draw(r[0]) < probability[r[3], r[2], topic(r[1])]}
+    library = Tokenizer.from_file(default_tokenizer_path())
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == kept
+    length = collections.Counter()
+    for r in out:
+        length[r["doc_id"]] += r["length"]
+    assert length == {i: len(library.encode(by_id[i][1], add_special_tokens=False).ids) + 1 for i in kept}
