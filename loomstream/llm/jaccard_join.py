@@ -33,7 +33,7 @@ from pyspark.sql import Window
 
 from .common import BROADCAST_ROWS, ascii_lower, buffers, checkpoint, release, select_as, slices
 from .components import connected_components
-from .suffix_dedup import MIX, _mixed
+from .words import MIX, mixed, texts_apart, word_hashes
 
 #: Shingles whose sets one task of the region join holds at most (two blocks), and members that are compared directly.
 BLOCK_SHINGLES, LEAF = 1_000_000, 64
@@ -44,64 +44,29 @@ MOST_SEEN = 100_000
 #: A shingle this frequent goes to the end of the order; at most so many (by 32 bits of their hash) are known to be.
 #: Neither changes a result.
 FREQUENT, MOST_FREQUENT = 2, 2_000_000
-#: Bytes that words are cut from at once, and bytes of texts whose sets are made at once.
-STEP, SLICE = 1 << 17, 1 << 20
+#: Bytes of texts whose sets are made at once.
+SLICE = 1 << 20
 #: Parts that a component's rows are dealt to, so that no component is one task's.
 SALTS = 16
-WHITE = np.zeros(256, np.int8)
-WHITE[[9, 10, 11, 12, 13, 32]] = 1
-
-
-def _hashes_of_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    white = WHITE[raw]
-    # begin: 1 at the first byte of a word; end: -1 behind its last one.
-    edge = np.diff(white, prepend=np.int8(1), append=np.int8(1))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return start, np.zeros(0, np.uint64)
-    # A word's hash: the sum of its bytes' hashes by place in the word.
-    begin = np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(raw)]])))
-    each = _mixed(((np.arange(len(raw)) - begin) * 256 + raw + (1 << 40)).view(np.uint64))
-    each[white.view(bool)] = 0
-    return start, _mixed(np.add.reduceat(each, start) + (end - start).astype(np.uint64))
-
-
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the words of lower-cased bytes; a word is a maximal run without ASCII white space.  Bytes are
-    taken in steps that end in white space, so that a long text needs little more memory than its words' hashes."""
-    starts, hashes, at = [], [], 0
-    while at < len(raw):
-        end = at + STEP
-        while end < len(raw) and not (white := np.flatnonzero(WHITE[raw[end : end + STEP]])).size:
-            end += STEP
-        end = min(len(raw), end + int(white[0])) if end < len(raw) else len(raw)
-        start, own = _hashes_of_words(raw[at:end])
-        starts.append(start + at)
-        hashes.append(own)
-        at = end
-    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def shingle_sets(offsets: np.ndarray, raw: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Each text's set of hashes of its n-word shingles, sorted; with fewer words the whole sequence, empty without."""
-    low = ascii_lower(raw)
-    # Texts are kept apart by a white-space byte before each.
+    apart = texts_apart(offsets, ascii_lower(raw))
     count = len(offsets) - 1
-    apart = np.full(len(low) + count, 32, np.uint8)
-    apart[np.arange(len(low)) + np.repeat(np.arange(1, count + 1), np.diff(offsets))] = low
-    start, words = word_hashes(apart)
+    start, _, words = word_hashes(apart)
     edges = np.searchsorted(start, offsets + np.arange(count + 1))
     long = words.copy()
     for k in range(1, n):
-        long = _mixed(long[: max(0, len(words) - k)] * MIX + words[k:])
+        long = mixed(long[: max(0, len(words) - k)] * MIX + words[k:])
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if b - a >= n:
             yield np.unique(long[a : b - n + 1])
         elif b > a:
             h = words[a : a + 1]
             for k in range(1, b - a):
-                h = _mixed(h * MIX + words[a + k])
-            yield _mixed(h + np.uint64(b - a))
+                h = mixed(h * MIX + words[a + k])
+            yield mixed(h + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
 
@@ -110,7 +75,7 @@ def set_id(shingles: np.ndarray) -> int:
     """A 64-bit id of a set, alike for equal sets."""
     if not len(shingles):
         return 0
-    return int(_mixed(np.add.reduce(_mixed(shingles + MIX), keepdims=True) + np.uint64(len(shingles)))[0].astype(np.int64))
+    return int(mixed(np.add.reduce(mixed(shingles + MIX), keepdims=True) + np.uint64(len(shingles)))[0].astype(np.int64))
 
 
 class Region:

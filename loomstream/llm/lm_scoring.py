@@ -1,108 +1,75 @@
 """Language-model scores of texts: prediction by partial matching over byte contexts, and a unigram word model.
 
-The PPM model reads bytes (A-Z lower-cased) as 64 symbols fixed in advance: frequent bytes have a symbol of their own,
-the rest share symbols, and a byte's probability is its symbol's times its own among the symbol's bytes, which a second
-PPM model gives by the up to ORDER bytes before it (`byte_log10`).  The context trie holds symbol counts after contexts of up to ORDER symbols, all counted over all training texts.  Up to
-three symbols it is at most 64**4 leaves whatever the corpus, kept as dense arrays.  The longer orders are kept whole as
-well, in a table dealt by the last three symbols of the context: all that the probability of a key (a context of ORDER
-symbols and the symbol after it) needs lies in one part, where it is computed once for every key of the texts.  Tasks
-are sent the most frequent keys' probabilities; those of all others are joined by a shuffle.
+The PPM model reads bytes (A-Z lower-cased, so that the byte A is free to stand for a text's begin and end).  Its trie
+holds the counts of every byte after every context of up to ORDER bytes in the training texts.  A path of ORDER + 1
+bytes is a key of 48 bits; counts of shorter contexts are sums over keys.  The trie is kept whole, as a table dealt by
+the last three bytes of the context: all that the probability of a key needs lies in one part (the orders up to SENT
+are at most 231**3 counts and are sent to every task), where it is computed once for every key that the texts have.
+Texts look up the most frequent keys in a table of bounded size that every task is sent; the others come by a join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, buffers, checkpoint, select_as, slices
-
-SYMBOLS = 64
-END = 63
-#: Symbols of the longest contexts, and of those that are complete.
-ORDER, DENSE = 5, 3
-#: Distinct keys that a training task holds before it sends their counts on.
-HELD_KEYS = 2_000_000
-#: Leads a key where it stands among words; no word holds a space, and a text's own row goes on in a digit or a minus.
-KEY_MARK = b" p"
-
-
-def byte_symbols() -> np.ndarray:
-    """The symbol of each byte: letters, frequent marks, digits, other ASCII, white space; bytes of longer UTF-8
-    sequences by their low four bits (continuation) or their length (lead)."""
-    out = np.zeros(256, np.uint8)
-    out[:128] = 40  # rare ASCII
-    out[9:14] = 26
-    out[32] = 27
-    out[48:58] = 28
-    for i, mark in enumerate(".,'\"-;:!?()"):
-        out[ord(mark)] = 29 + i
-    for i in range(26):
-        out[97 + i] = out[65 + i] = i
-    out[128:192] = 41 + np.arange(64) % 16
-    out[192:224], out[224:240], out[240:] = 58, 59, 60
-    out[195] = 57
-    return out
-
-
-SYMBOL_OF = byte_symbols()
-#: Bytes of each symbol; A-Z are never met, as texts are lower-cased, and A stands for what is before a text.
-BYTES_OF = np.bincount(np.delete(SYMBOL_OF, np.arange(65, 91)), minlength=SYMBOLS)
-BEFORE = 65
-#: Set in keys of bytes, to tell them from keys of symbols.
-BYTE_KEY = 1 << 8 * (ORDER + 1)
-#: Bytes of the longest contexts that every task is sent.
-SENT = 2
-
-
-def positions(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, end offsets): for each byte and each text's end the symbols up to it, ORDER of them its context."""
-    n = len(offsets) - 1
-    # Each text is led by END symbols as its first context and closed by one.
-    at = np.arange(len(raw)) + np.repeat(np.arange(1, n + 1) * (ORDER + 1) - 1, np.diff(offsets))
-    sym = np.full(len(raw) + (ORDER + 1) * n, END, np.int64)
-    sym[at] = SYMBOL_OF[raw]
-    keys = np.zeros(len(sym), np.int64)
-    for k in range(ORDER + 1):
-        keys[ORDER:] |= sym[ORDER - k : len(sym) - k] << (6 * k)
-    keep = np.ones(len(sym), bool)
-    begin = offsets[:-1] + (ORDER + 1) * np.arange(n)
-    for k in range(ORDER):
-        keep[begin + k] = False
-    return keys[keep], offsets + np.arange(n + 1)
-
-
-def byte_positions(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, texts): for each byte that shares its symbol the ORDER bytes before it and itself, and its text's number."""
+from .common import ascii_lower, buffers, checkpoint, release, select_as, slices
+from .words import texts_apart, word_hashes
+
+#: Bytes of the longest contexts, and of those whose counts every task is sent.
+ORDER, SENT = 5, 2
+#: Stands for what is before and behind a text; texts do not hold it, as they are lower-cased.
+END = 65
+#: Bytes that can follow a context: all but the capitals, and END.
+ALPHABET = 256 - 26 + 1
+#: Distinct keys and words that a training task holds before it sends their counts on.
+HELD_KEYS, HELD_WORDS = 1_500_000, 300_000
+#: Bytes of texts that are read at once, and positions whose keys are made at once.
+SLICE, STEP = 1 << 20, 1 << 19
+#: Longer words are not sent to every task, however frequent they are.
+LONGEST_HEAD = 512
+SIGN = np.uint64(1 << 63)
+
+
+def keys_of(offsets: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, texts' numbers), step by step: for each byte and each text's end the ORDER bytes before it and itself.
+    low: lower-cased bytes."""
     lengths = np.diff(offsets)
-    at = np.arange(len(raw)) + np.repeat(np.arange(1, len(lengths) + 1) * ORDER, lengths)
-    padded = np.full(len(raw) + ORDER * len(lengths), BEFORE, np.int64)
-    padded[at] = raw
-    shared = BYTES_OF[SYMBOL_OF[raw]] > 1
-    at = at[shared]
-    keys = np.full(len(at), BYTE_KEY)
-    for k in range(ORDER + 1):
-        keys |= padded[at - k] << (8 * k)
-    return keys, np.repeat(np.arange(len(lengths)), lengths)[shared]
-
-
-def byte_log10(keys: np.ndarray, counts: np.ndarray, short: np.ndarray, short_counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each key's last byte among its symbol's bytes after the bytes before it, by method C escapes
-    with exclusion down to equal shares.  keys: all with one context of SENT + 1 bytes; short: all of SENT bytes' context."""
-    of_class = lambda k: (k >> 8 << 6) | SYMBOL_OF[k & 255]
-    levels = []
+    padded = np.full(len(low) + (ORDER + 1) * len(lengths) + 8, END, np.uint8)
+    padded[np.arange(len(low)) + np.repeat(np.arange(len(lengths)) * (ORDER + 1) + ORDER, lengths)] = low
+    text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + ORDER + 1)
+    inside = np.ones(len(text), bool)  # all but the windows that reach into the next text
+    last = np.cumsum(lengths + ORDER + 1)
+    for k in range(1, ORDER + 1):
+        inside[last - k] = False
+    every = np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (len(text),), (1,))
+    for i in range(0, len(text), STEP):
+        own = inside[i : i + STEP]
+        yield (every[i : i + STEP][own].astype(np.uint64) >> np.uint64(16)).view(np.int64), text[i : i + STEP][own]
+
+
+def key_log10(keys: np.ndarray, counts: np.ndarray, short: np.ndarray, short_counts: np.ndarray) -> np.ndarray:
+    """log10 probability of each key's last byte after the bytes before it: from the longest context down, method C
+    escapes (a context's new bytes weigh as many counts as it has seen distinct ones) with exclusion of what longer
+    contexts hold; below order 0 the bytes left are equally likely.
+
+    keys: distinct ones, among them all counted ones that share the last SENT + 1 bytes of their context; counts: 0
+    for a key that was only met in held-out texts.  short: keys of order SENT and their counts over all training texts.
+    """
+    levels: list[tuple[np.ndarray, ...]] = []
     for order in range(ORDER + 1):
         all_keys, all_counts = (short, short_counts) if order <= SENT else (keys[counts > 0], counts[counts > 0])
         leaf, at = np.unique(all_keys & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
         count = np.bincount(at, all_counts, len(leaf))
         lower = levels[-1][1][np.searchsorted(levels[-1][0], leaf & ((1 << 8 * order) - 1))] if order and len(leaf) else np.zeros(len(leaf))
-        context, at = np.unique(of_class(leaf), return_inverse=True)
+        context, at = np.unique(leaf >> 8, return_inverse=True)
+        # Of a context: counts, distinct bytes, and what these count in the next shorter context.
         levels.append((leaf, count, context, *(np.bincount(at, w, len(context)) for w in (count, np.ones(len(leaf)), lower))))
-    out, size = np.zeros(len(keys)), BYTES_OF[SYMBOL_OF[keys & 255]].astype(np.float64)
+    out = np.zeros(len(keys))
     mass, number = np.zeros(len(keys)), np.zeros(len(keys))  # excluded from the order at hand
     left = np.arange(len(keys))
     for order in range(ORDER, -1, -1):
@@ -110,22 +77,22 @@ def byte_log10(keys: np.ndarray, counts: np.ndarray, short: np.ndarray, short_co
         if not len(leaf):
             continue
         own = keys[left] & ((1 << 8 * (order + 1)) - 1)
-        find = lambda table, k: (np.minimum(np.searchsorted(table, k), len(table) - 1))
-        at, place = find(context, of_class(own)), find(leaf, own)
-        here, hit = context[at] == of_class(own), leaf[place] == own
+        find = lambda table, k: np.minimum(np.searchsorted(table, k), len(table) - 1)
+        at, place = find(context, own >> 8), find(leaf, own)
+        here, hit = context[at] == own >> 8, leaf[place] == own
         rest = np.where(here, total[at] - mass[left], 0.0)
-        escape = np.where(distinct[at] < size[left], distinct[at] - number[left], 0.0)
+        escape = np.where(distinct[at] < ALPHABET, distinct[at] - number[left], 0.0)
         out[left[hit]] += np.log10(count[place[hit]] / (rest + escape)[hit])
         miss = here & ~hit & (rest > 0)
         out[left[miss]] += np.log10(escape[miss] / (rest + escape)[miss])
         mass[left], number[left] = np.where(here, lower[at], 0.0), np.where(here, distinct[at], 0.0)
         left = left[~hit]
-    out[left] -= np.log10(size[left] - number[left])
+    out[left] -= np.log10(ALPHABET - number[left])
     return out
 
 
 class Lookup:
-    """Values of non-negative keys by open addressing."""
+    """Numbers of distinct non-negative keys by open addressing."""
 
     def __init__(self, keys: np.ndarray) -> None:
         self.mask = (1 << max(4, (2 * len(keys)).bit_length())) - 1
@@ -158,345 +125,207 @@ class Lookup:
         return out
 
 
-class Trie:
-    """PPM with method C escapes and symbol exclusion: a symbol is looked for after ever shorter contexts; what a
-    longer context holds is left out of the counts of a shorter one."""
-
-    def __init__(self, leaves: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """leaves: (keys, counts) by order from DENSE up; keys of an order are sorted."""
-        dense = np.zeros(SYMBOLS ** (DENSE + 1), np.float32)
-        dense[leaves[0][0]] = leaves[0][1]
-        self.dense = dense
-        by_context = dense.reshape(-1, SYMBOLS)
-        self.total = by_context.sum(1, dtype=np.float64)
-        self.distinct = np.count_nonzero(by_context, 1).astype(np.float64)
-        self.log_p = log_probabilities(dense)
-        self.lengthen(leaves[1:])
-
-    def lengthen(self, leaves: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Take these as the leaves of the orders above DENSE."""
-        dense = self.dense
-        self.orders = []
-        shorter = lambda keys: dense[keys].astype(np.float64)
-        for order, (keys, counts) in enumerate(leaves, DENSE + 1):
-            low = keys & ((1 << 6 * order) - 1)
-            below = shorter(low)
-            keys, counts, below = keys[below > 0], counts[below > 0].astype(np.float64), below[below > 0]
-            context, first = np.unique(keys >> 6, return_index=True)
-            sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: B023, E731
-            self.orders.append((Lookup(keys), counts, Lookup(context), sums(counts), np.diff(np.append(first, len(keys))).astype(np.float64), sums(below)))
-            shorter = self._counts(self.orders[-1][0], counts)
-
-    @staticmethod
-    def _counts(table: Lookup, counts: np.ndarray):
-        def get(keys: np.ndarray) -> np.ndarray:
-            at = table.find(keys)
-            return np.where(at >= 0, counts[at] if len(counts) else 0.0, 0.0)
-
-        return get
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each key's last symbol after its context."""
-        out = np.zeros(len(keys))
-        mass, number = np.zeros(len(keys)), np.zeros(len(keys))  # excluded from the order at hand
-        left = np.arange(len(keys))
-        for order in range(ORDER, DENSE, -1):
-            table, counts, contexts, total, distinct, below = self.orders[order - DENSE - 1]
-            if not len(counts):
-                continue
-            own = keys[left] & ((1 << 6 * (order + 1)) - 1)
-            at = contexts.find(own >> 6)
-            here = at >= 0
-            at = np.where(here, at, 0)
-            rest = np.where(here, total[at] - mass[left], 0.0)
-            weight = rest + distinct[at] - number[left]
-            use = here & (rest > 0)
-            leaf = np.full(len(left), -1)
-            leaf[use] = table.find(own[use])
-            hit = leaf >= 0
-            out[left[hit]] += np.log10(counts[leaf[hit]] / weight[hit])
-            miss = use & ~hit
-            out[left[miss]] += np.log10((distinct[at] - number[left])[miss] / weight[miss])
-            mass[left] = np.where(here, below[at], 0.0)
-            number[left] = np.where(here, distinct[at], 0.0)
-            left = left[~hit]
-        own = keys[left] & (SYMBOLS ** (DENSE + 1) - 1)
-        context = own >> 6
-        count, total, distinct = self.dense[own], self.total[context], self.distinct[context]
-        rest = total - mass[left]
-        weight = rest + distinct - number[left]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            found = np.log10(count / weight)
-            # Below order DENSE nothing of this context's symbols is left either way.
-            escape = np.where(total > 0, np.log10(distinct / (total + distinct)), 0.0)
-            passed = np.where(rest > 0, np.log10((distinct - number[left]) / weight), 0.0)
-        out[left] += np.where(count > 0, found, passed - escape + self.log_p[own])
-        return out
-
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
 
-def log_probabilities(dense: np.ndarray) -> np.ndarray:
-    """log10 probability of each symbol after each context of DENSE symbols, with all shorter ones.
 
-    At each order the symbols that longer contexts hold are excluded.  The escape to the next order weighs as many
-    counts as distinct symbols are left in the context; contexts never seen, or with nothing left, are passed without
-    cost; below order 0 the symbols left are equally likely.
-    """
-    c3 = dense.reshape(SYMBOLS, SYMBOLS * SYMBOLS, SYMBOLS)
-    c2 = c3.sum(0, dtype=np.float64)
-    c1 = c2.reshape(SYMBOLS, SYMBOLS, SYMBOLS).sum(0)
-    c0 = c1.sum(0)
-    lower = [c2, np.tile(c1, (SYMBOLS, 1)), np.broadcast_to(c0, c2.shape), np.ones_like(c2)]
-    out = np.empty((SYMBOLS, SYMBOLS * SYMBOLS, SYMBOLS), np.float32)
-    for first in range(SYMBOLS):
-        p = np.zeros_like(c2)
-        mass = np.ones((len(c2), 1))
-        open_ = np.ones(c2.shape, bool)
-        for level, c in enumerate([c3[first].astype(np.float64), *lower]):
-            own = np.where(open_, c, 0.0)
-            seen = own > 0
-            total, distinct = own.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            rest = (open_ & ~seen).any(1, keepdims=True) & (level < 4)
-            weight = np.where(rest, total + distinct, np.maximum(total, 1e-300))
-            used = total > 0
-            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                p += np.where(seen, mass * own / weight, 0)
-                mass = np.where(used, np.where(rest, mass * distinct / weight, 0), mass)
-            open_ &= ~seen
-        out[first] = np.log10(p)
-    return out.reshape(-1)
-
-
-def _train(rows: DataFrame, head: list[bytes]) -> tuple[DataFrame, tuple[np.ndarray, ...], np.ndarray, int]:
-    """(keys of all texts with their counts over the training texts, leaves of symbols of order DENSE and of bytes of
-    order SENT, counts of head words, number of tokens)."""
-    shared = rows.sparkSession.sparkContext.broadcast(head)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, word, value) of the columns text and held: counts over the texts that are learned from, of keys (word is
+    empty; keys of held-out texts count 0), of words (key: their hash with its sign set), and of texts (key: -1)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    words: dict[bytes, list[int]] = {}  # a word's count and key
+    texts = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(shared.value)}
-        words: Counter = Counter()
-        tokens = 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def rows(key, word: list[bytes] | None, value) -> pa.RecordBatch:
+        n = len(key)
+        word = pa.array(word, pa.binary()) if word is not None else pa.array([b""], pa.binary()).take(pa.array(np.zeros(n, np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), word, pa.array(value, pa.int64())], ["key", "word", "value"])
 
-        def rows_of(kind: int, key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(value.astype(np.int64))], ["kind", "key", "value"])
+    def of_words() -> pa.RecordBatch:
+        out = rows([k for _, k in words.values()], list(words), [c for c, _ in words.values()])
+        words.clear()
+        return out
 
-        for batch in batches:
-            offsets, raw = buffers(batch.column(0))
-            learned = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in slices(offsets):
-                low = ascii_lower(raw[offsets[i] : offsets[j]])
-                lengths = np.diff(offsets[i : j + 1])
-                keys = positions(offsets[i : j + 1] - offsets[i], low)[0]
-                byte_keys, text = byte_positions(offsets[i : j + 1] - offsets[i], low)
-                keys = np.concatenate([keys, byte_keys])
-                own = np.concatenate([np.repeat(learned[i:j], lengths + 1), learned[i:j][text]])
+    for batch in batches:
+        offsets, raw = buffers(batch.column(0))
+        learned = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        texts += int(learned.sum())
+        for i, j in slices(offsets, SLICE):
+            low, at = ascii_lower(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
+            for keys, text in keys_of(at, low):
+                own = learned[i:j][text]
                 held.append(np.unique(keys[own], return_counts=True))
-                if not own.all():  # keys of held-out texts are listed, but not counted
+                if not own.all():
                     other = np.unique(keys[~own])
                     held.append((other, np.zeros(len(other), np.int64)))
                 if sum(len(k) for k, _ in held) > HELD_KEYS:
                     held = [_merged(held)]
                     if len(held[0][0]) > HELD_KEYS // 2:
-                        yield rows_of(0, *held.pop())
-                blob, start = low.tobytes(), int(offsets[i])
-                for k in np.flatnonzero(learned[i:j]) + i:
-                    found = blob[offsets[k] - start : offsets[k + 1] - start].split()
-                    tokens += len(found) + 1
-                    words.update(filter(place.__contains__, found))
-        if held:
-            yield rows_of(0, *_merged(held))
-        yield rows_of(2, np.array([place[w] for w in words]), np.array(list(words.values())))
-        yield rows_of(3, np.zeros(1), np.array([tokens]))
-
-    counted = checkpoint(rows.select("text", "held").mapInArrow(run, "kind int, key long, value long").groupBy("kind", "key").agg(F.sum("value").alias("value")).where("kind = 0 OR value > 0"))
-    longest = counted.where("kind = 0").select("key", "value")
-    # The complete orders have at most 64**4 leaves of symbols and 256**3 of bytes; they come to the driver.
-    of_bytes = F.col("key") >= BYTE_KEY
-    short = F.when(of_bytes, F.col("key").bitwiseAND(F.lit((1 << 8 * (SENT + 1)) - 1))).otherwise(F.col("key").bitwiseAND(F.lit((1 << 6 * (DENSE + 1)) - 1)))
-    table = longest.where("value > 0").groupBy(of_bytes.alias("bytes"), short.alias("key")).agg(F.sum("value").alias("value")).toArrow()
-    key, value = table["key"].to_numpy(), table["value"].to_numpy()
-    of = table["bytes"].to_numpy().astype(bool)
-    by_key = np.argsort(key[~of])
-    dense = (key[~of][by_key], value[~of][by_key], key[of], value[of])
-    table = counted.where("kind > 0").toArrow()
-    kind, key, value = (table[c].to_numpy() for c in ("kind", "key", "value"))
-    by_word = np.zeros(len(head), np.int64)
-    by_word[key[kind == 2]] = value[kind == 2]
-    return longest, dense, by_word, int(value[kind == 3].sum())
-
-
-def _key_scores(longest: DataFrame, dense: tuple[np.ndarray, ...]) -> DataFrame:
-    """key, value, log_p: log10 probability of each key's last symbol (of a byte's key: of the byte among its
-    symbol's), with all counted contexts of all orders."""
-    shared = longest.sparkSession.sparkContext.broadcast(dense)
+                        key, value = held.pop()
+                        yield rows(key, None, value)
+            apart = texts_apart(at, low)
+            start, stop, hashes = word_hashes(apart)
+            of_text = np.searchsorted(at[1:] + np.arange(1, j - i + 1), start, "right")
+            own = learned[i:j][of_text] if len(start) else np.zeros(0, bool)
+            blob = apart.tobytes()
+            word, first, n = np.unique(hashes[own], return_index=True, return_counts=True)
+            for key, a, b, c in zip((word | SIGN).view(np.int64).tolist(), start[own][first].tolist(), stop[own][first].tolist(), n.tolist(), strict=True):
+                of = words.get(w := blob[a:b])
+                if of is None:
+                    words[w] = [c, key]
+                else:
+                    of[0] += c
+            if len(words) > HELD_WORDS:
+                yield of_words()
+    if held:
+        key, value = _merged(held)
+        yield rows(key, None, value)
+    yield of_words()
+    yield rows([-1], None, [texts])
+    release()
+
+
+def _key_scores(counted: DataFrame) -> DataFrame:
+    """key, value, log_p of all keys of all texts: their counts, and log10 probabilities of their last bytes."""
+    keys = counted.where("key >= 0").select("key", "value")
+    low = keys.where("value > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (SENT + 1)) - 1)).alias("key")).agg(F.sum("value").alias("value"))
+    table = low.toArrow()  # at most ALPHABET ** (SENT + 1) rows
+    shared = counted.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["value"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        keys, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
-        by_key = np.argsort(keys)
-        keys, counts = keys[by_key], counts[by_key]
-        split = np.searchsorted(keys, BYTE_KEY)
-        if split < len(keys):
-            log_p = byte_log10(keys[split:] - BYTE_KEY, counts[split:], *shared.value[2:])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[split:]), pa.array(counts[split:]), pa.array(log_p)], ["key", "value", "log_p"])
-        keys, counts = keys[:split], counts[:split]
-        leaves = []
-        for order in range(DENSE + 1, ORDER + 1):
-            own, at = np.unique(keys[counts > 0] & ((1 << 6 * (order + 1)) - 1), return_inverse=True)
-            leaves.append((own, np.bincount(at, counts[counts > 0], len(own))))
-        model = _dense_trie(shared.value)
-        model.lengthen(leaves)
-        for i in range(0, len(keys), 1 << 18):
-            part = slice(i, i + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(counts[part]), pa.array(model.log10(keys[part]))], ["key", "value", "log_p"])
-
-    # Contexts of the longer orders that end in the same DENSE symbols meet in one part.
-    of_bytes = F.col("key") >= BYTE_KEY
-    return longest.repartition(of_bytes, F.when(of_bytes, F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (SENT + 1)) - 1))).otherwise(F.shiftright("key", 6).bitwiseAND(F.lit(SYMBOLS**DENSE - 1)))).mapInArrow(run, "key long, value long, log_p double")
+        if parts:
+            key, value = (np.concatenate(c) for c in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), pa.array(key_log10(key, value, *shared.value))], ["key", "value", "log_p"])
+        release()
 
+    # Contexts that end in the same SENT + 1 bytes meet in one part.
+    ends = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (SENT + 1)) - 1))
+    return keys.repartition(ends).mapInArrow(run, "key long, value long, log_p double")
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
 
+def _head(table: DataFrame, most: int, *columns: str) -> tuple[pa.Table, Column]:
+    """The most rows of highest value, and a test of table's other rows."""
+    top = table.orderBy(F.desc("value"), "key").limit(most).select("key", "value", *columns).toArrow()
+    if top.num_rows < most:
+        return top, F.lit(False)
+    if not most:
+        return top, F.lit(True)
+    key, value = top["key"][-1].as_py(), top["value"][-1].as_py()
+    return top, (F.col("value") < F.lit(value)) | ((F.col("value") == F.lit(value)) & (F.col("key") > F.lit(key)))
 
-def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", head_keys: int = 1_000_000, sample_rows: int = 4000, head_words: int = 60_000) -> DataFrame:
+
+def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", head_keys: int = 1_000_000, head_words: int = 60_000) -> DataFrame:
     """One row a row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Both models learn from all rows but the held-out ones (null counts as not held out).  Words are maximal runs
     without ASCII white space after lower-casing A-Z, and each text ends in one end token.  base_score sums
     log10((c + 1) / (N + V + 1)) over the tokens; score is the log10 probability that the PPM model gives the text's
     lower-cased bytes and its end.  Null text counts as empty; repeated rows count and are returned each; with nothing
-    to learn from, base_score is 0 and symbols are equally likely.  No rows give no rows.
+    to learn from, base_score is 0 and bytes are equally likely.  No rows give no rows; further columns of docs are
+    ignored; a text of any length is read in steps.
 
-    Word counts are exact however many words there are: the head_words most frequent of a few sampled texts are
-    counted and looked up by broadcast (their choice changes no result), all other words are counted by one shuffle of
-    a row for each document and distinct word, which then carry their logarithms back to the document.  So it is with
-    the PPM model: the probabilities of the head_keys most frequent keys are looked up by broadcast (their number changes
-    no result), those of all other keys come by the words' shuffle.
+    All contexts and all words are counted, however many there are.  The head_keys most frequent keys and head_words most
+    frequent words of the whole corpus (their numbers change no result) are looked up by broadcast; what a text holds
+    of the others becomes a row for each distinct one, and is joined to the counts.  None of them is frequent, so no
+    key of that join holds a large share of the rows.
     """
     rows = select_as(docs.withColumn("_held", F.coalesce(held_out, F.lit(False))), doc_id=id_col, text=text_col, held="_held")
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
-    learn = rows.where(~F.col("held"))
-    sample = Counter(w for r in learn.select("text").limit(sample_rows).toArrow()["text"].to_pylist() if r for w in r.encode().lower().split())
-    head = [w for w, c in sample.most_common(head_words) if c > 1]
-    longest, dense, by_word, n = _train(rows, head)
-    ends = learn.count()
-    keys = checkpoint(_key_scores(longest, dense))
-    top = keys.orderBy(F.desc("value"), "key").limit(head_keys).toArrow()
-    top_key, top_value, top_log = (top[c].to_numpy() for c in ("key", "value", "log_p"))
-    shared = rows.sparkSession.sparkContext.broadcast((top_key, top_log, head, by_word))
+    counted = rows.select("text", "held").mapInArrow(_counts, "key long, word binary, value long")
+    counted = checkpoint(counted.groupBy("key", "word").agg(F.sum("value").alias("value")))
+    is_word = F.octet_length("word") > 0
+    n_of = lambda test, c: F.coalesce(F.sum(F.when(test, c)), F.lit(0))
+    n, v, ends = counted.agg(n_of(is_word, F.col("value")), n_of(is_word, F.lit(1)), n_of((F.col("key") == -1) & ~is_word, F.col("value"))).first()
+    n, v = n + ends, v + (1 if ends else 0)
+    keys = checkpoint(_key_scores(counted))
+    top_keys, other_keys = _head(keys, head_keys, "log_p")
+    known = counted.where(is_word)
+    short = F.octet_length("word") <= LONGEST_HEAD
+    top_words, other_words = _head(known.where(short), head_words)
+    of_words = top_words["key"].to_numpy() & 0x7FFFFFFFFFFFFFFF
+    shared = rows.sparkSession.sparkContext.broadcast((top_keys["key"].to_numpy(), top_keys["log_p"].to_numpy(), of_words, np.log10(top_words["value"].to_numpy() + 1.0)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, top_log, head, by_word = shared.value
-        table = _tables(shared.value)
-        known = dict(zip(head, np.log10(by_word + 1.0).tolist(), strict=True))
+        by_key, by_word = _tables(shared.value)
+        log_of_key, log_of_word = (np.append(shared.value[c], 0.0) for c in (1, 3))  # what is not found (-1) adds 0
+
+        def once(text: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(first place, times) of each distinct pair."""
+            order = np.lexsort((item, text))
+            text, item = text[order], item[order]
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(text)), bool), (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
+            return order[new], np.diff(np.append(new, len(text)))
+
         for batch in batches:
             offsets, raw = buffers(batch.column(1))
-            held, hashes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i, j in slices(offsets):
-                low = ascii_lower(raw[offsets[i] : offsets[j]])
-                at = offsets[i : j + 1] - offsets[i]
-                place, ends_at = positions(at, low)
-                byte_place, byte_text = byte_positions(at, low)
-                place = np.concatenate([place, byte_place])
-                text = np.concatenate([np.repeat(np.arange(j - i), np.diff(ends_at)), byte_text])
-                found_at = table.find(place)
-                ppm = np.bincount(text, np.where(found_at >= 0, top_log[found_at] if len(top_log) else 0.0, 0.0), j - i)
-                # (text, key) of the keys that are not in the head, each once with its number.
-                rare = np.flatnonzero(found_at < 0)
-                rare_keys, rare_at = np.unique(place[rare], return_inverse=True)
-                pairs, rare_times = np.unique(text[rare] * max(1, len(rare_keys)) + rare_at, return_counts=True)
-                rare_first = np.searchsorted(pairs, np.arange(j - i + 1) * max(1, len(rare_keys)))
-                blob = low.tobytes()
-                doc: list[int] = []
-                word: list[bytes] = []
-                times: list[int] = []
-                learned: list[int] = []
-                facts: list[tuple | None] = []
-                for k in range(i, j):
-                    found = blob[at[k - i] : at[k - i + 1]].split()
-                    total, hits, first = 0.0, 0, len(word)
-                    for w, c in Counter(found).items():
-                        log = known.get(w)
-                        if log is None:
-                            word.append(w)
-                            times.append(c)
-                        elif log:
-                            total += log * c
-                            hits += c
-                    tail = len(word) - first
-                    a, b = rare_first[k - i], rare_first[k - i + 1]
-                    doc += [k] * (tail + b - a + 1)
-                    learned += [0] * tail if held[k] else times[first:]
-                    learned += [0] * (b - a + 1)
-                    word += [KEY_MARK + x.to_bytes(8, "big") for x in rare_keys[pairs[a:b] % max(1, len(rare_keys))].tolist()]
-                    times += rare_times[a:b].tolist()
-                    # The text's own row; no word holds a space, so its key is its own.
-                    word.append(b" %d" % hashes[k])
-                    times.append(0)
-                    facts += [None] * (tail + b - a)
-                    facts.append((len(found) + 1, hits, total, float(ppm[k - i])))
-                take = pa.array(doc, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(take) for c in (0, 2, 3)]
-                    + [pa.array(word, pa.binary()), pa.array(times, pa.int32()), pa.array(learned, pa.int32())]
-                    + [pa.array([None if f is None else f[x] for f in facts], t) for x, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
-                    ["doc_id", "held", "hash", "word", "times", "learned", "tokens", "hits", "part", "score"],
-                )
+            hashes = batch.column(3).to_numpy()
+            for i, j in slices(offsets, SLICE):
+                low, at = ascii_lower(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
+                ppm = np.zeros(j - i)
+                rare: list[tuple[np.ndarray, np.ndarray]] = []
+                for key, text in keys_of(at, low):
+                    found = by_key.find(key)
+                    ppm += np.bincount(text, log_of_key[found], j - i)
+                    rare.append((text[found < 0], key[found < 0]))
+                rare_text, rare_key = (np.concatenate([r[c] for r in rare]) for c in (0, 1)) if rare else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+                first, key_times = once(rare_text, rare_key)
+                rare_text, rare_key = rare_text[first], rare_key[first]
+                apart = texts_apart(at, low)
+                start, stop, word = word_hashes(apart)
+                of_text = np.searchsorted(at[1:] + np.arange(1, j - i + 1), start, "right")
+                found = by_word.find((word & ~SIGN).view(np.int64))
+                total, hits = np.bincount(of_text, log_of_word[found], j - i), np.bincount(of_text[found >= 0], minlength=j - i)
+                other = np.flatnonzero(found < 0)
+                first, word_times = once(of_text[other], word[other])
+                first = other[first]
+                blob = apart.tobytes()
+                # A row for each rare word and key of a text, and one for the text, whose key is its own.
+                more = np.arange(j - i)
+                take = pa.array(np.concatenate([of_text[first], rare_text, more]).astype(np.int64) + i)
+                key = np.concatenate([(word[first] | SIGN).view(np.int64), rare_key, hashes[i:j] | np.int64(-(2**63))])
+                others = len(first) + len(rare_key)
+                nothing = pa.array([b""], pa.binary()).take(pa.array(np.zeros(len(rare_key) + j - i, np.int64)))
+                words = pa.concat_arrays([pa.array([blob[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)], pa.binary()), nothing])
+                times = np.concatenate([word_times, key_times, np.zeros(j - i, np.int64)]).astype(np.int32)
+                tokens = np.bincount(of_text, minlength=j - i) + 1
+                facts = [pa.concat_arrays([pa.nulls(others, t), pa.array(x, t)]) for x, t in ((tokens, pa.int64()), (hits, pa.int64()), (total, pa.float64()), (ppm, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 2, 3)), pa.array(key), words, pa.array(times), *facts], ["doc_id", "held", "hash", "key", "word", "times", "tokens", "hits", "part", "ppm"])
+        release()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.select("doc_id", "text", "held", "hash").mapInArrow(score, f"doc_id {kind}, held boolean, hash long, word binary, times int, learned int, tokens long, hits long, part double, score double")
-    out = out.withColumn("log_p", F.lit(None).cast("double"))
-    if len(top_key) == head_keys:  # there may be more keys: theirs are the rows without a text
-        last = F.lit(int(top_value[-1])) if head_keys else F.lit(None)
-        others = keys.where((F.col("value") < last) | ((F.col("value") == last) & (F.col("key") > F.lit(int(top_key[-1]))))) if head_keys else keys
-        mark = F.concat(F.lit(KEY_MARK), F.unhex(F.lpad(F.hex("key"), 16, "0")))
-        out = out.unionByName(others.select(mark.alias("word"), "log_p"), allowMissingColumns=True)
-    of_word = Window.partitionBy("word")
-    out = out.withColumn("c", F.sum("learned").over(of_word)).withColumn("first", F.min("hash").over(of_word) == F.col("hash")).withColumn("log_p", F.max("log_p").over(of_word)).where("hash IS NOT NULL")
+    out = rows.select("doc_id", "text", "held", "hash").mapInArrow(score, f"doc_id {kind}, held boolean, hash long, key long, word binary, times int, tokens long, hits long, part double, ppm double")
+    others = keys.where(other_keys).select("key", F.lit(b"").alias("word"), "log_p")
+    others = others.unionByName(known.where(~short | other_words).select("key", "word", F.log10(F.col("value") + F.lit(1.0)).alias("log_p")))
+    out = out.join(others, ["key", "word"], "left")
+    word, ppm = F.when(is_word, F.col("times")), F.when(F.col("key") >= 0, F.col("times"))
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0))
     by_doc = out.groupBy("doc_id", "held", "hash").agg(
-        F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("tail"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_hits"),
-        F.sum(F.when(F.col("first") & (F.col("c") > 0), 1).otherwise(0)).alias("words"),
-        F.coalesce(F.sum(F.col("times") * F.col("log_p")), F.lit(0.0)).alias("rare"),
+        add(word * F.col("log_p")).alias("tail"),
+        add(F.when(F.col("log_p").isNotNull(), word)).alias("tail_hits"),
+        add(ppm * F.col("log_p")).alias("rare"),
         F.count("tokens").alias("copies"),
-        *(F.max(c).alias(c) for c in ("tokens", "hits", "part", "score")),
+        *(F.max(c).alias(c) for c in ("tokens", "hits", "part", "ppm")),
     )
-    by_doc = checkpoint(by_doc)
-    # Rows repeated in full share a key; each of their words is first as often as they are repeated.
-    distinct = by_doc.agg(F.sum(F.col("words") / F.col("copies")).alias("v")).first()["v"] or 0
-    v = int(round(distinct)) + int((by_word > 0).sum()) + (1 if ends else 0)
-    spread = float(np.log10(n + v + 1))
-    return (
-        by_doc.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(
-            "doc_id",
-            F.col("held").alias("held_out"),
-            F.col("tokens").alias("n_tokens"),
-            (F.col("hits") + F.col("tail_hits") / F.col("copies") + (1 if ends else 0)).cast("long").alias("n_known"),
-            F.lit(n).cast("long").alias("train_tokens"),
-            (F.col("part") + F.col("tail") / F.col("copies") + F.lit(float(np.log10(ends + 1))) - F.col("tokens") * F.lit(spread)).alias("base_score"),
-            (F.col("score") + F.col("rare") / F.col("copies")).alias("score"),
-        )
+    spread, end = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
+    # Rows repeated in full share a group; their rare words and keys are as often in it as they are repeated.
+    return by_doc.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+        "doc_id",
+        F.col("held").alias("held_out"),
+        F.col("tokens").alias("n_tokens"),
+        (F.col("hits") + F.col("tail_hits") / F.col("copies") + (1 if ends else 0)).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("part") + F.col("tail") / F.col("copies") + F.lit(end) - F.col("tokens") * F.lit(spread)).alias("base_score"),
+        (F.col("ppm") + F.col("rare") / F.col("copies")).alias("score"),
     )
 
 
 _KEPT: list = []
-_DENSE: list = []
 
 
-def _tables(model: tuple) -> Lookup:
-    """The finished table, made once a worker process and model."""
+def _tables(model: tuple) -> tuple[Lookup, Lookup]:
+    """The tables of frequent keys and words, made once a worker process and model."""
     if not _KEPT or _KEPT[0] is not model:
-        _KEPT[:] = [model, Lookup(model[0])]
+        _KEPT[:] = [model, (Lookup(model[0]), Lookup(model[2]))]
     return _KEPT[1]
-
-
-def _dense_trie(leaves: tuple[np.ndarray, ...]) -> Trie:
-    """The trie of the complete orders, made once a worker process and model."""
-    if not _DENSE or _DENSE[0] is not leaves:
-        _DENSE[:] = [leaves, Trie([leaves[:2]])]
-    return _DENSE[1]

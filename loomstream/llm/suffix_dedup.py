@@ -20,17 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, select_as, slices
+from .words import mixed
 
 KMER = 32
 #: Windows of one run at most; longer runs (periodic texts) are cut, so that a record's size is bounded.
 LONGEST_RUN = 4096
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * MIX
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
 
 
 def string_hashes(raw: np.ndarray, length: int, seed: int) -> np.ndarray:
@@ -38,7 +32,7 @@ def string_hashes(raw: np.ndarray, length: int, seed: int) -> np.ndarray:
     if len(raw) < length:
         return np.zeros(0, np.uint64)
     base = np.uint64(0xD6E8FEB86659FD93 + 2 * seed)
-    part = _mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed * 256 + 1))[raw]
+    part = mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed * 256 + 1))[raw]
     out, done, size, power = None, 0, 1, base
     while True:
         if length & size:
@@ -49,7 +43,7 @@ def string_hashes(raw: np.ndarray, length: int, seed: int) -> np.ndarray:
                 out = out[:n] * power + part[done : done + n]
             done += size
         if done == length:
-            return _mixed(out)
+            return mixed(out)
         n = len(part) - size
         part = part[:n] * power + part[size : size + n]
         power = np.uint64(int(power) ** 2 % 2**64)

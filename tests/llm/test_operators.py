@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -14,7 +15,7 @@ from loomstream.llm import langid
 from loomstream.llm.bpe_fst import default_tokenizer_path
 from loomstream.llm.exact_dedup import exact_dedup
 from loomstream.llm.jaccard_join import jaccard_components
-from loomstream.llm.lm_scoring import BYTE_KEY, BYTES_OF, DENSE, ORDER, SENT, SYMBOL_OF, Trie, byte_log10, byte_positions, lm_scores, positions
+from loomstream.llm.lm_scoring import lm_scores
 from loomstream.llm.mixing import marginals, mix
 from loomstream.llm.packing import Bins, pack_documents, pack_lengths
 from loomstream.llm.pii import pseudonymise
@@ -211,56 +212,62 @@ def test_lm_scores(docs, rows, empty):
     assert lm_scores(empty, F.lit(False)).count() == 0
 
 
-@pytest.mark.parametrize("kept", [10**9, 40, 0])
-def test_ppm_is_a_distribution(kept):
-    rng = np.random.default_rng(0)
-    raw = rng.choice(np.frombuffer(b"abcde f.", np.uint8), 4000)
-    keys, _ = positions(np.array([0, 1000, 1000, 4000]), raw)
-    leaves = []
-    for order in range(DENSE, ORDER + 1):
-        k, c = np.unique(keys & ((1 << 6 * (order + 1)) - 1), return_counts=True)
-        top = np.sort(np.argsort(-c, kind="stable")[:kept]) if order > DENSE else slice(None)
-        leaves.append((k[top], c[top]))
-    contexts = np.unique(np.concatenate([keys >> 6, rng.integers(0, 64**ORDER, 50)]))
-    p = 10 ** Trie(leaves).log10((contexts[:, None] << 6 | np.arange(64)).reshape(-1)).reshape(-1, 64)
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
-
-
-@pytest.mark.parametrize("head_keys", [10**6, 50, 0])
-def test_lm_scores_use_every_leaf(docs, rows, head_keys):
+def brute_ppm(learn, texts, order=5):
+    """log10 probability of each text and its end: contexts from long to short, a dictionary of counts each."""
+    counts = collections.defaultdict(collections.Counter)
+    path = lambda t: [(t[max(0, i - order) : i] if i >= order else [256] * (order - i) + t[:i], t[i] if i < len(t) else 256) for i in range(len(t) + 1)]
+    for t in learn:
+        for context, byte in path(list(t)):
+            for k in range(order + 1):
+                counts[tuple(context[order - k :])][byte] += 1
+    alphabet = [b for b in range(257) if not 65 <= b <= 90]
+
+    def probability(context, byte):
+        gone, p = set(), 1.0
+        for k in range(order, -1, -1):
+            own = {b: c for b, c in counts[tuple(context[order - k :])].items() if b not in gone}
+            if not own:
+                continue
+            new = len(own) if len(own) + len(gone) < len(alphabet) else 0
+            if byte in own:
+                return p * own[byte] / (sum(own.values()) + new)
+            p *= new / (sum(own.values()) + new)
+            gone |= own.keys()
+        return p / (len(alphabet) - len(gone))
+
+    return [sum(math.log10(probability(c, b)) for c, b in path(list(t))) for t in texts], probability, alphabet
+
+
+def test_ppm_is_a_distribution():
+    _, probability, alphabet = brute_ppm([b"abracadabra", b"bar \xc3\xbc", b""], [])
+    for context in ([256] * 5, list(b"abrac"), list(b"zzzra"), list(b"zzzzz")):
+        assert abs(sum(probability(context, b) for b in alphabet) - 1) < 1e-12
+
+
+@pytest.mark.parametrize("head", [10**6, 50, 0])
+def test_lm_scores_against_brute_force(spark, docs, rows, head):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    texts = [(r[1] or "").encode().lower() for r in rows]
-    learn = [t for r, t in zip(rows, texts, strict=True) if not held(r[0])]
-    at = lambda ts: positions(np.cumsum([0, *map(len, ts)]), np.frombuffer(b"".join(ts), np.uint8))
-    keys = at(learn)[0]
-    model = Trie([np.unique(keys & ((1 << 6 * (order + 1)) - 1), return_counts=True) for order in range(DENSE, ORDER + 1)])
-    bytes_at = lambda ts: byte_positions(np.cumsum([0, *map(len, ts)]), np.frombuffer(b"".join(ts), np.uint8))[0] - BYTE_KEY
-    counts = collections.Counter(bytes_at(learn).tolist())
-    every = np.unique(bytes_at(texts))
-    short = np.unique(bytes_at(learn) & ((1 << 8 * (SENT + 1)) - 1), return_counts=True)
-    among = dict(zip(every.tolist(), byte_log10(every, np.array([counts[k] for k in every.tolist()]), *short), strict=True))
-    want = {r[0]: model.log10(at([t])[0]).sum() + sum(among[k] for k in bytes_at([t]).tolist()) for r, t in zip(rows, texts, strict=True)}
-    out = lm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, head_keys=head_keys).collect()
-    assert len(out) == len(rows) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 * max(1, -want[r["doc_id"]]) for r in out)
-
-
-def test_bytes_of_a_symbol_are_a_distribution():
-    raw = np.frombuffer("tel 120 121 12 über ähnlich 日本語 #$ 99 | 1200".encode() * 3, np.uint8)
-    keys = byte_positions(np.array([0, 40, 40, len(raw)]), raw)[0] - BYTE_KEY
-    short = np.unique(keys & ((1 << 8 * (SENT + 1)) - 1), return_counts=True)
-    alike = np.array([b for b in range(256) if not 65 <= b <= 90])
-    for key in {*keys.tolist(), *(keys ^ 1 << 16).tolist(), *(keys ^ 1 << 40).tolist()}:
-        among = (key >> 8 << 8) | alike[SYMBOL_OF[alike] == SYMBOL_OF[key & 255]]
-        asked = np.unique(np.concatenate([keys, among]))
-        counts = np.array([(keys == k).sum() for k in asked])
-        p = 10 ** byte_log10(asked, counts, *short)[np.isin(asked, among)]
-        assert len(p) == BYTES_OF[SYMBOL_OF[key & 255]] and abs(p.sum() - 1) < 1e-9
-
-
-def test_lm_scores_tell_folded_bytes_by_context(spark):
-    texts = [(i, t) for i, t in enumerate(["call 1234 now", "日本 äö | # a"] * 20 + ["call 1234 now", "call 4321 now", "日本 äö | # a", "日本 öä # | a"])]
-    score = {r["doc_id"]: r["score"] for r in lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") >= 40).collect()}
-    assert score[40] > score[41] + 3 and score[42] > score[43] + 1
+    some = [r for r in rows if len(r[1] or "") < 1500]
+    texts = [(r[1] or "").encode().lower() for r in some]
+    want, _, _ = brute_ppm([t for r, t in zip(some, texts, strict=True) if not held(r[0])], texts)
+    want = dict(zip([r[0] for r in some], want, strict=True))
+    out = lm_scores(docs.where("length(text) < 1500 OR text IS NULL"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2, head_keys=head, head_words=head).collect()
+    assert len(out) == len(some) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 * max(1, -want[r["doc_id"]]) for r in out)
+
+
+def test_lm_scores_read_long_texts_in_steps(spark, monkeypatch):
+    from loomstream.llm import lm_scoring
+
+    data = [(1, "alpha beta gamma " * 300), (2, "x" * 3000), (3, "beta alpha " * 50)]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    whole = {r["doc_id"]: tuple(r) for r in lm_scores(frame, F.lit(False)).collect()}
+    at, low = np.array([0, 5100, 8100]), np.frombuffer((data[0][1] + data[1][1]).encode(), np.uint8)
+    every = [np.concatenate(c) for c in zip(*lm_scoring.keys_of(at, low), strict=True)]
+    monkeypatch.setattr(lm_scoring, "STEP", 100)
+    steps = [np.concatenate(c) for c in zip(*lm_scoring.keys_of(at, low), strict=True)]
+    assert all((a == b).all() for a, b in zip(every, steps, strict=True)) and len(every[0]) == 8102
+    want, _, _ = brute_ppm([t.encode() for _, t in data], [t.encode() for _, t in data])
+    assert all(abs(whole[i][-1] - w) < 1e-6 * -w for (i, _), w in zip(data, want, strict=True))
 
 
 def test_langid(spark, docs, empty):
