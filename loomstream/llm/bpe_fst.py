@@ -24,6 +24,8 @@ import unicodedata
 
 import numpy as np
 
+from .common import distinct
+
 # Code points with the Unicode property White_Space.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288]
 
@@ -36,6 +38,8 @@ N_STATES, N_SYMBOLS, CHUNK = 8, 9, 512
 PLACE = struct.Struct("<Bib")
 #: A worker that has compiled more states than this starts its table anew, which bounds its memory.
 MOST_STATES = 600_000
+#: Pairs of tokens of which a worker knows whether one can follow the other; beyond it, it starts anew as well.
+MOST_PAIRS = 2_000_000
 
 
 def default_tokenizer_path() -> str:
@@ -176,12 +180,12 @@ class Transducer:
         self.token_len = np.zeros(max(self.words) + 2, np.int32)
         for i, w in self.words.items():
             self.token_len[i] = len(w)
-        self.pairs: dict[int, bool] = {}
         self.valid: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
         """Start the lazy compilation anew."""
+        self.pairs: dict[int, bool] = {}
         self.states: list[bytes] = []
         self.ids: dict[bytes, int] = {}
         self.last = np.full(1024, -1, np.int32)
@@ -306,7 +310,7 @@ class Transducer:
             left = left[~empty]
             slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
             left = left[self.keys[slot[left]] != keys[left]]
-        new = np.unique(keys[np.concatenate(missing)])
+        new = distinct(keys[np.concatenate(missing)])
         if len(new):
             for x in new.tolist():
                 self._compile(x >> 8, x & 255)
@@ -315,7 +319,7 @@ class Transducer:
 
     def _run(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Token count of each word; with keep also the state after each byte."""
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > MOST_STATES or len(self.pairs) > MOST_PAIRS:
             self._forget()
         order = np.argsort(-lengths.astype(np.int32), kind="stable")
         at, left = starts[order], lengths[order]
@@ -355,7 +359,7 @@ class Transducer:
         at = np.flatnonzero(head) if len(chars) != len(raw) else np.arange(len(raw))
         if len(at) != len(chars):
             raise ValueError("texts must be valid UTF-8")
-        begin = np.unique(np.concatenate([offsets[:-1], np.array(cuts, np.int64)]))
+        begin = distinct(np.concatenate([offsets[:-1], np.array(cuts, np.int64)]))
         begin = begin[begin < len(raw)]
         first = np.searchsorted(at, begin)
         flags = word_starts(symbols(chars, first))

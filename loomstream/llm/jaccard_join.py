@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import BROADCAST_ROWS, ascii_lower, buffers, checkpoint, release, select_as, slices
+from .common import BROADCAST_ROWS, ascii_lower, buffers, checkpoint, distinct, release, select_as, slices
 from .components import connected_components
 from .words import MIX, mixed, texts_apart, word_hashes
 
@@ -61,7 +61,7 @@ def shingle_sets(offsets: np.ndarray, raw: np.ndarray, n: int) -> Iterator[np.nd
         long = mixed(long[: max(0, len(words) - k)] * MIX + words[k:])
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if b - a >= n:
-            yield np.unique(long[a : b - n + 1])
+            yield distinct(long[a : b - n + 1])
         elif b > a:
             h = words[a : a + 1]
             for k in range(1, b - a):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, buffers, checkpoint, release, select_as, slices
+from .common import ascii_lower, buffers, checkpoint, distinct, release, select_as, slices
 from .words import texts_apart, word_hashes
 
 #: Bytes of the longest contexts, and of those whose counts every task is sent.
@@ -157,7 +157,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = learned[i:j][text]
                 held.append(np.unique(keys[own], return_counts=True))
                 if not own.all():
-                    other = np.unique(keys[~own])
+                    other = distinct(keys[~own])
                     held.append((other, np.zeros(len(other), np.int64)))
                 if sum(len(k) for k, _ in held) > HELD_KEYS:
                     held = [_merged(held)]

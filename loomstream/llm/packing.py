@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_fst import default_tokenizer_path, transducer
-from .common import buffers, checkpoint, select_as, slices
+from .common import buffers, checkpoint, release, select_as, slices
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer_path: str | None = None) -> DataFrame:
@@ -41,6 +41,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
                             column.append(value)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:]), batch.column(2).take(take)], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+        release()
 
     rows = select_as(docs, doc_id=id_col, text=text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, row long")
