@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, buffers, checkpoint, distinct, release, select_as, slices
+from .common import ascii_lower, buffers, distinct, release, select_as, slices, written
 from .words import texts_apart, word_hashes
 
 #: Bytes of the longest contexts, and of those whose counts every task is sent.
@@ -234,12 +234,12 @@ def lm_scores(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text
     rows = select_as(docs.withColumn("_held", F.coalesce(held_out, F.lit(False))), doc_id=id_col, text=text_col, held="_held")
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
     counted = rows.select("text", "held").mapInArrow(_counts, "key long, word binary, value long")
-    counted = checkpoint(counted.groupBy("key", "word").agg(F.sum("value").alias("value")))
+    counted = written(counted.groupBy("key", "word").agg(F.sum("value").alias("value")))
     is_word = F.octet_length("word") > 0
     n_of = lambda test, c: F.coalesce(F.sum(F.when(test, c)), F.lit(0))
     n, v, ends = counted.agg(n_of(is_word, F.col("value")), n_of(is_word, F.lit(1)), n_of((F.col("key") == -1) & ~is_word, F.col("value"))).first()
     n, v = n + ends, v + (1 if ends else 0)
-    keys = checkpoint(_key_scores(counted))
+    keys = written(_key_scores(counted))
     top_keys, other_keys = _head(keys, head_keys, "log_p")
     known = counted.where(is_word)
     short = F.octet_length("word") <= LONGEST_HEAD
