@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +71,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_documents(spark, sf_dir), key="a key of the corpus's owner")
+    """The key is the corpus owner's: spark.loomstream.pii.key (or LOOMSTREAM_PII_KEY); for trials there is a default."""
+    key = spark.conf.get("spark.loomstream.pii.key", None) or os.environ.get("LOOMSTREAM_PII_KEY") or "trial"
+    return pseudonymise(_documents(spark, sf_dir), key=key)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

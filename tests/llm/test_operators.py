@@ -1,9 +1,11 @@
 """The corpus operators against brute force, and their edge cases."""
 
 import collections
+import datetime as dt
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -18,7 +20,7 @@ from loomstream.llm.jaccard_join import jaccard_components
 from loomstream.llm.lm_scoring import lm_scores
 from loomstream.llm.mixing import marginals, mix
 from loomstream.llm.packing import Bins, pack_documents, pack_lengths
-from loomstream.llm.pii import pseudonymise
+from loomstream.llm.pii import ANY, NAME, PATTERNS, pseudonymise
 from loomstream.llm.suffix_dedup import remove_repeats
 from loomstream.llm.token_counts import token_counts
 from loomstream.llm.topk import exact_topk
@@ -386,6 +388,118 @@ def test_pii(spark, empty):
     assert pseudonymise(empty, key="k").count() == 0
 
 
+class PiiTwin:
+    """The pseudonyms again, value by value in plain Python."""
+
+    def __init__(self, key):
+        self.key = hashlib.sha256(key.encode()).hexdigest()
+
+    def digest(self, *parts):
+        return hashlib.sha256(":".join([self.key, *map(str, parts)]).encode()).hexdigest()
+
+    def pair(self, kind, a, b, n_a, n_b):
+        for i in range(4):
+            a = (a + int(self.digest(kind, 2 * i, b)[:15], 16) % n_a) % n_a
+            b = (b + int(self.digest(kind, 2 * i + 1, a)[:15], 16) % n_b) % n_b
+        return a, b
+
+    @staticmethod
+    def luhn(d, odd=0):
+        return sum(sum(divmod(int(c) * 2, 10)) if (i + odd) % 2 else int(c) for i, c in enumerate(reversed(d)))
+
+    @staticmethod
+    def like(m, chars, test=str.isdigit):
+        it = iter(chars)
+        return "".join(next(it) if test(c) else c for c in m)
+
+    def card(self, m):
+        d = "".join(filter(str.isdigit, m))
+        k = (len(d) - 1) // 2
+        a, b = self.pair("card", int(d[:k]), int(d[k:-1]), 10**k, 10 ** (len(d) - 1 - k))
+        payload = f"{a:0{k}}{b:0{len(d) - 1 - k}}"
+        return self.like(m, payload + str(-self.luhn(payload, 1) % 10))
+
+    def run(self, m):
+        groups = re.split("([ -])", m)
+        out, i = "", 0
+        while i < len(groups):
+            for j in range(min(len(groups), i + 2 * 19), i, -1):
+                d = "".join(groups[i:j:2])
+                if (j - i) % 2 and 13 <= len(d) <= 19 and self.luhn(d) % 10 == 0:
+                    out += self.card("".join(groups[i:j]))
+                    i = j
+                    break
+            else:
+                out += groups[i]
+                i += 1
+            out += groups[i] if i < len(groups) and i % 2 else ""
+            i += i % 2
+        return out
+
+    def __call__(self, m):
+        if "@" in m:
+            local, domain = m.lower().split("@")
+            chars = "".join(c for c in local if c in NAME)
+            a, b = chars[: len(chars) // 2], chars[len(chars) // 2 :]
+            move = lambda s, h: "".join(NAME[(NAME.index(c) + int(h[2 * (p % 32) :][:2], 16)) % 36] for p, c in enumerate(s))
+            for i in range(4):
+                a = move(a, self.digest("email", 2 * i, "@" + domain, b))
+                b = move(b, self.digest("email", 2 * i + 1, "@" + domain, a))
+            return self.like(local, a + b, NAME.__contains__) + m[m.index("@") :]
+        if re.fullmatch(PATTERNS["ip"], m):
+            o = [int(x) for x in m.split(".")]
+            a, b = self.pair("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+            return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}" if max(o) < 256 else m
+        if re.fullmatch(PATTERNS["date"], m):
+            try:
+                day = (dt.date.fromisoformat(m) - dt.date(1900, 1, 1)).days
+            except ValueError:
+                return m
+            a, b = self.pair("date", day // 4297, day % 4297, 17, 4297)
+            return str(dt.date(1900, 1, 1) + dt.timedelta(a * 4297 + b))
+        if re.fullmatch(PATTERNS["ssn"], m):
+            x, y, z = (int(p) for p in m.split("-"))
+            if not (0 < x < 900 and x != 666 and y and z):
+                return m
+            a, b = self.pair("ssn", x - 1 - (x > 666), (y - 1) * 9999 + z - 1, 898, 99 * 9999)
+            return f"{a + 1 + (a >= 665):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+        if re.fullmatch(PATTERNS["phone"], m):
+            d = "".join(filter(str.isdigit, m))
+            a, b = self.pair("phone", int(d[-10:-5]), int(d[-5:]), 100000, 100000)
+            return self.like(m, f"{d[:-10]}{a:05}{b:05}")
+        return self.run(m)
+
+
+def test_pii_against_a_plain_twin(spark):
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def number():
+        kind = rng.randrange(8)
+        payload = digits(rng.choice([12, 14, 15, 18]))
+        card = payload + str(-PiiTwin.luhn(payload, 1) % 10)
+        return [
+            card, " ".join(card[i : i + 4] for i in range(0, len(card), 4)), f"{digits(rng.randrange(1, 5))} {card}", f"{rng.randrange(1, 256)}.{rng.randrange(300)}.0.7", f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 14):02}-{rng.randrange(1, 33):02}",
+            f"{digits(3)}-{digits(2)}-{digits(4)}", rng.choice(["+1 (", "("]) + f"{digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)}-{digits(3)}-{digits(4)} {card}-{digits(2)}x",
+        ][kind]
+
+    texts = [" ".join(rng.choice([number(), rng.choice(["word", "a.B+c@Mail.example", "x@y.zz", "end.", "-"])]) for _ in range(30)) for _ in range(120)]
+    texts += ["item 1 4539578763621486 paid", "12 4539 5787 6362 1486", "1234 4539 5787 6362 1486 77", "123 017-555-7713", "4539578763621486 4539578763621486"]
+    out = {r["doc_id"]: r for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()}
+    twin = PiiTwin("k")
+    for i, t in enumerate(texts):
+        assert out[i]["text"] == re.sub(ANY, lambda m: twin(m.group()), t), t
+    assert [out[120 + i]["n_card"] for i in range(5)] == [1, 1, 1, 0, 2] and out[123]["n_phone"] == 1 and "4539" not in out[120]["text"]
+
+
+def test_pseudonyms_are_permutations(spark):
+    day = F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd")
+    out = pseudonymise(spark.range(73049).select(F.col("id").alias("doc_id"), day.alias("text")), key="k")
+    assert out.agg(F.count_distinct("text"), F.min("text"), F.max("text"), F.sum("n_date")).first()[:] == (73049, "1900-01-01", "2099-12-31", 73049)
+    two = F.concat(F.substring(F.lit(NAME), 1, 0), *(F.substr(F.lit(NAME), F.floor(F.col("id") / n) % 36 + 1, F.lit(1)) for n in (1, 36)), F.lit("@e.org"))
+    assert pseudonymise(spark.range(36 * 36).select(F.col("id").alias("doc_id"), two.alias("text")), key="k").select("text").distinct().count() == 36 * 36
+
+
 def test_feistel_is_a_permutation(spark):
     from loomstream.llm.pii import feistel
 
