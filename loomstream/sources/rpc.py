@@ -8,94 +8,131 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
-from dataclasses import dataclass
+from enum import Enum
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .logs import RAW_LOGS
 from .segments import plan_segments
 
-#: Statuses and codes by which nodes ask for patience, and words by which they refuse a range.
+# What nodes answer when they ask for patience, and when they will not serve so large a range at all.
 BUSY_STATUS = {429, 500, 502, 503, 504}
-BUSY_CODES = {-32016, -32029}
-RANGE_WORDS = ("block range", "range too large", "too many results", "more than", "response size", "too large")
+BUSY_CODES = {-32016, -32005}
+RANGE_CODES = {-32020, -32614}
+RANGE_WORDS = ("block range", "too many", "limit exceeded", "query returned more than", "too large", "limited to a", "response size")
 
 
 class RpcError(Exception):
-    """The node's final answer is an error."""
+    """The node's final answer is an error; code is the node's, if it gave one."""
+
+    def __init__(self, message: str, code: int | None = None) -> None:
+        super().__init__(message)
+        self.code = code
 
 
 class RangeRefused(RpcError):
     """The node will not serve so many blocks or logs at once."""
 
 
-def refuses_range(message: str) -> bool:
-    return any(words in message.lower() for words in RANGE_WORDS)
+class Verdict(Enum):
+    RANGE = "ask for less"
+    BUSY = "ask again later"
+    FINAL = "do not ask again"
+
+
+def verdict(status: int, code: int | None = None, message: str = "") -> Verdict:
+    """What to make of an error: the code says most, then the message, then the status."""
+    by_code = {**dict.fromkeys(RANGE_CODES, Verdict.RANGE), **dict.fromkeys(BUSY_CODES, Verdict.BUSY)}
+    if code in by_code:
+        return by_code[code]
+    low = message.lower()
+    if "rate limit" in low or "too many requests" in low:
+        return Verdict.BUSY
+    if any(words in low for words in RANGE_WORDS):
+        return Verdict.RANGE
+    return Verdict.BUSY if status in BUSY_STATUS else Verdict.FINAL
+
 
+class Meter:
+    """How wide the next question may be, from the density of logs in the answers so far.
 
-@dataclass
-class Span:
-    """How many blocks to ask for: halved when refused, grown slowly towards the logs that an answer may hold."""
+    Answers count less with every further one, so the density follows the chain.  A refused width is not asked for
+    again until PATIENCE answers later; nothing else is remembered of it.
+    """
 
-    blocks: int
-    most_blocks: int
-    logs: float = 8000
-    most_logs: float = 10_000
+    AIM, FADE, PATIENCE = 5_000, 0.8, 25
 
-    def refused(self, asked: int) -> None:
-        self.blocks = max(1, asked // 2)
-        self.logs = max(1000.0, self.logs * 0.85)
+    def __init__(self, most: int) -> None:
+        self.most, self.blocks, self.logs = max(1, most), 0.0, 0.0
+        self.refused, self.calm = None, 0
 
-    def served(self, asked: int, found: int) -> None:
-        self.logs = min(self.most_logs, self.logs * 1.02 + 1)
-        fitting = self.logs * asked / max(1, found)
-        self.blocks = int(max(1, min(self.most_blocks, fitting, max(self.blocks + 1, self.blocks * 1.25))))
+    def width(self) -> int:
+        out = self.most
+        if self.logs > 0:
+            out = min(out, int(self.AIM * self.blocks / self.logs))
+        if self.refused is not None:
+            out = min(out, self.refused - 1)
+        return max(1, out)
+
+    def answered(self, blocks: int, logs: int) -> None:
+        self.blocks, self.logs = self.blocks * self.FADE + blocks, self.logs * self.FADE + logs
+        self.calm += 1
+        if self.calm >= self.PATIENCE:
+            self.refused, self.calm = None, 0
+
+    def declined(self, blocks: int) -> None:
+        self.refused, self.calm = min(blocks, self.refused or blocks), 0
 
 
 class Node:
     def __init__(self, url: str, *, tries: int = 6, wait: float = 1.0, timeout: float = 60) -> None:
         self.url, self.tries, self.wait, self.timeout = url, tries, wait, timeout
 
-    def _post(self, payload: bytes) -> tuple[int, bytes]:
+    def _post(self, payload: bytes) -> tuple[int, object]:
+        """(status, the answer's JSON, None if it is none)."""
         request = urllib.request.Request(self.url, payload, {"Content-Type": "application/json"})
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as answer:  # noqa: S310 - the caller's own node
-                return answer.status, answer.read()
+                status, body = answer.status, answer.read()
         except urllib.error.HTTPError as e:
-            return e.code, e.read()
+            status, body = e.code, e.read()
+        try:
+            return status, json.loads(body)
+        except ValueError:
+            return status, None
+
+    def _ask(self, payload: bytes) -> tuple[Verdict | None, object, int | None]:
+        """(None, result, None), or what to make of the error, the error in words, and its code."""
+        try:
+            status, answer = self._post(payload)
+        except OSError as e:
+            return Verdict.BUSY, f"{type(e).__name__}: {e}", None
+        answer = answer if isinstance(answer, dict) else {}
+        if error := answer.get("error"):
+            code, message = error.get("code"), str(error.get("message", ""))
+            return verdict(status, code, message), f"{code}: {message}", code
+        if status < 400 and "result" in answer:
+            return None, answer["result"], None
+        return verdict(status), f"HTTP {status}: not an answer", None
 
     def call(self, method: str, params: list) -> object:
-        """The result; a busy node or a broken connection is asked again, later each time; other errors are final."""
+        """The result; a busy node or a broken connection is asked again, each wait up to three times the last one and
+        half a minute at most; other errors are final."""
         payload = json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params}).encode()
-        problem = ""
-        for attempt in range(self.tries):
-            if attempt:
-                time.sleep(self.wait * (min(2**attempt, 30) + random.uniform(0, 0.5)))
-            try:
-                status, body = self._post(payload)
-            except OSError as e:
-                problem = f"{type(e).__name__}: {e}"
-                continue
-            try:
-                answer = json.loads(body)
-            except ValueError:
-                answer = None
-            # An error in the body says more than the status.
-            error = answer.get("error") if isinstance(answer, dict) else None
-            if error:
-                problem = f"{error.get('code')}: {error.get('message', '')}"
-                if refuses_range(problem):
-                    raise RangeRefused(problem)
-                if error.get("code") in BUSY_CODES or "rate limit" in problem.lower() or status in BUSY_STATUS:
-                    continue
-                raise RpcError(problem)
-            if status in BUSY_STATUS:
-                problem = f"HTTP {status}"
-                continue
-            if status >= 400 or not isinstance(answer, dict) or "result" not in answer:
-                raise RpcError(f"HTTP {status}: not an answer")
-            return answer["result"]
-        raise RpcError(f"{method}: {self.tries} tries failed, the last with {problem}")
+        pause, said = self.wait, ""
+        for left in reversed(range(self.tries)):
+            what, said, code = self._ask(payload)
+            if what is None:
+                return said
+            if what is not Verdict.BUSY:
+                raise (RangeRefused if what is Verdict.RANGE else RpcError)(said, code)
+            if left:
+                pause = min(30 * self.wait, random.uniform(self.wait, 3 * pause))
+                time.sleep(pause)
+        raise RpcError(f"{method}: {self.tries} tries failed, the last with {said}")
+
+    def chain_id(self) -> int:
+        return int(self.call("eth_chainId", []), 16)
 
     def logs(self, address: str, topics: list, first: int, last: int) -> list[dict]:
         return self.call("eth_getLogs", [{"address": address, "topics": topics, "fromBlock": hex(first), "toBlock": hex(last)}])
@@ -106,20 +143,27 @@ class Node:
             raise RpcError(f"block {block} is missing")
         return found["timestamp"]
 
-    def chunks(self, address: str, topics: list, first: int, last: int, span: Span) -> Iterator[list[dict]]:
-        """The logs of each block once, in runs of blocks that the node is willing to serve."""
-        while first <= last:
-            end = min(last, first + span.blocks - 1)
+    def chunks(self, address: str, topics: list, first: int, last: int, meter: Meter) -> Iterator[list[dict]]:
+        """The logs of each block once, in order: ranges are cut to the meter's width, and a refused one in halves."""
+        ranges = [(first, last)] if first <= last else []
+        while ranges:
+            a, b = ranges.pop()
+            cut = min(b, a + meter.width() - 1)
+            if cut < b:
+                ranges.append((cut + 1, b))
             try:
-                found = self.logs(address, topics, first, end)
+                found = self.logs(address, topics, a, cut)
             except RangeRefused:
-                if end == first:
+                if a == cut:
                     raise
-                span.refused(end - first + 1)
+                meter.declined(cut - a + 1)
+                middle = (a + cut) // 2
+                ranges += [(middle + 1, cut), (a, middle)]
                 continue
-            span.served(end - first + 1, len(found))
+            if any(not a <= int(log["blockNumber"], 16) <= cut for log in found):
+                raise RpcError(f"logs of blocks outside of {a} to {cut}")
+            meter.answered(cut - a + 1, len(found))
             yield found
-            first = end + 1
 
 
 class Blocks(InputPartition):
@@ -129,10 +173,11 @@ class Blocks(InputPartition):
 
 
 class RpcLogs(DataSource):
-    """spark.read.format("rpc_logs") with the options url, address, topic, start, end; optional are segment_blocks
-    (2,000: the blocks of a partition), chunk_blocks (500: asked for at first and at most) and wait (1: seconds that
-    waiting is counted in).  One row a log as the node gives it; a log without a time takes that of its block.
-    A lost task reads its segment again."""
+    """spark.read.format("rpc_logs") with the options url, address, topic, and start and end or segments ("first-last"
+    pairs of blocks with commas between, read in this order); optional are segment_blocks (2,000: the blocks of a
+    partition), chunk_blocks (500: asked for at most) and wait (1: seconds that waiting is counted in).  One row a log
+    as the node gives it, each once, in order; a log without a time takes that of its block; a log of a block that was
+    not asked for is an error.  A lost task reads its segment again."""
 
     @classmethod
     def name(cls) -> str:
@@ -147,22 +192,26 @@ class RpcLogs(DataSource):
 
 class RpcLogsReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        missing = [k for k in ("url", "address", "topic", "start", "end") if k not in options]
+        need = ("url", "address", "topic", *(() if "segments" in options else ("start", "end")))
+        missing = [k for k in need if k not in options]
         if missing:
             raise ValueError(f"options missing: {', '.join(missing)}")
         self.options = options
 
     def partitions(self) -> list[Blocks]:
         o = self.options
+        if "segments" in o:
+            return [Blocks(*map(int, pair.split("-"))) for pair in o["segments"].split(",")]
         return [Blocks(a, b) for a, b in plan_segments(int(o["start"]), int(o["end"]), int(o.get("segment_blocks", 2000)))]
 
     def read(self, partition: Blocks) -> Iterator[tuple]:
         o = self.options
         node = Node(o["url"], wait=float(o.get("wait", 1)))
-        most = int(o.get("chunk_blocks", 500))
-        for logs in node.chunks(o["address"], [o["topic"]], partition.first, partition.last, Span(most, most)):
+        for logs in node.chunks(o["address"], [o["topic"]], partition.first, partition.last, Meter(int(o.get("chunk_blocks", 500)))):
             times: dict[str, str] = {}
-            for log in logs:
+            # Of logs with one key the first counts; a range's answer holds whole blocks, so repeats are within it.
+            once = {(log["transactionHash"].lower(), int(log["logIndex"], 16)): log for log in reversed(logs)}
+            for log in sorted(once.values(), key=lambda x: (int(x["blockNumber"], 16), int(x["logIndex"], 16))):
                 at, when = log["blockNumber"], log.get("blockTimestamp")
                 if when is None:
                     when = times[at] = times.get(at) or node.block_time(at)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from loomstream import registry
 from loomstream.functions import scalar, stats
 from loomstream.functions.ranks import ntile_of, with_rank
-from loomstream.operators import experiments, marts, quality, reconcile, staging
+from loomstream.operators import experiments, findings, marts, quality, reconcile, staging
 from loomstream.plans.warehouse import Warehouse
 from loomstream.schema import RAW_TRANSFERS
 from loomstream.sources import segments
 from loomstream.sources.adapters import TOKEN, address, orders_log
+from loomstream.sources.synthetic import SyntheticConfig, synthetic_transfers
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["orders", "lineitem", "events", "customer"]
@@ -119,11 +120,17 @@ def test_statistics():
 
 
 def test_experiment_scenarios(spark):
-    report = experiments.experiment_report(experiments.generate_scenario(spark, "positive_effect", n_units=8000, treatment_lift=0.06), n_boot=50)
+    report = experiments.experiment_report(experiments.generate_scenario(spark, "positive_effect", n_units=8000, treatment_conversion_lift_pp=0.06), n_boot=50)
     assert not report["srm"]["srm_detected"] and report["ztest"]["significant"]
     assert experiments.experiment_report(experiments.generate_scenario(spark, "srm", n_units=4000), n_boot=5)["srm"]["srm_detected"]
     cuped = experiments.cuped_theta(experiments.generate_scenario(spark, "cuped", n_units=8000)).first()
-    assert 0.55 < cuped["variance_reduction"] < 0.73
+    assert 0.5 < cuped["variance_reduction"] < 0.63  # 0.75 squared
+    values = experiments.generate_scenario(spark, "positive_effect").select("group", "continuous_metric").toPandas()
+    arms = [values[values["group"] == g]["continuous_metric"].to_numpy() for g in ("control", "treatment")]
+    interval = experiments.bootstrap_ci(*arms, n_boot=400)
+    assert interval["ci_low"] < interval["difference"] < interval["ci_high"] and interval["ci_low"] > 0
+    welch = report["welch"]
+    assert abs(report["bootstrap"]["ci_low"] - welch["ci_low"]) < 0.2 and abs(report["bootstrap"]["ci_high"] - welch["ci_high"]) < 0.2
     with pytest.raises(KeyError):
         experiments.generate_scenario(spark, "no such scenario")
 
@@ -153,6 +160,8 @@ def test_segments(spark, tmp_path):
     del loaded.segments[0]
     with pytest.raises(ValueError, match="not covered"):
         segments.plan_window(loaded, 5, 14)
+    nothing = segments.Manifest(0, 9, 10, TOKEN, 8453, segments=[segments.Segment(0, 9, 0, None)])
+    assert segments.extract_window(spark, str(tmp_path), nothing, 2, 5, str(tmp_path / "none")).row_count == 0
 
 
 def test_orders_log_is_whole_unless_cut(spark):
@@ -169,3 +178,29 @@ def test_segment_integrity_counts_every_block(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = registry.queries()["segment_integrity"](spark, str(tmp_path)).where("row_count > 0").orderBy("start_block").collect()
     assert [tuple(r) for r in got] == [(-1000, -501, 1), (-500, -1, 1), (0, 499, 1), (9_500, 9_999, 1), (10_000, 10_499, 1), (25_000, 25_250, 1)]
+
+
+def test_synthetic_transfers(spark):
+    config = SyntheticConfig(n_days=20, n_wallets=200, events_per_day=300)
+    log = synthetic_transfers(spark, config).cache()
+    assert log.columns == RAW_TRANSFERS.fieldNames()
+    n = log.count()
+    assert abs(n - 6000) < 400 and log.select("event_id").distinct().count() == n
+    assert log.exceptAll(synthetic_transfers(spark, config)).isEmpty()
+    selfs = log.where("is_self_transfer").count()
+    assert 0.005 * n < selfs < 0.12 * n and log.where("from_address = to_address").count() == selfs and log.where("raw_amount < 1").isEmpty()
+    house = Warehouse(log)
+    assert house.mart_concentration.first()["gini_coefficient"] > 0.5 and house.mart_retention_cohorts.select("cohort_week").distinct().count() >= 3
+    assert quality.all_passed(quality.run_checks(house.stg_transfers, log, TOKEN))
+
+
+def test_findings(spark, tmp_path):
+    log = synthetic_transfers(spark, SyntheticConfig(n_days=12, n_wallets=60, events_per_day=40))
+    found = findings.findings(Warehouse(log, share=True))
+    assert all(found[name] for name in found if name != "anomalies")
+    findings.save(found, f"{tmp_path}/f.json")
+    assert json.loads((tmp_path / "f.json").read_text()) == found
+    one = found["dataset"][0]
+    report = {"start_block": one["min_block"], "end_block": one["max_block"], "row_count": one["raw_events"], "first_event_at": one["first_event_at"], "last_event_at": one["last_event_at"]}
+    assert findings.window_matches(report, found) == [] and len(findings.window_matches(report | {"row_count": 1, "end_block": 1}, found)) == 2
+    assert findings.plain({"a": float("nan"), 1: [1 / 3]}) == {"a": None, "1": [0.3333333333]}
