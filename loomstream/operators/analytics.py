@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstream.functions.quantiles import exact_quantiles
 from loomstream.functions.ranks import with_rank
 from loomstream.functions.scalar import share, weeks_between
 
@@ -126,19 +127,17 @@ def segment_shares(segments: DataFrame) -> DataFrame:
 
 
 def engagement_summary(life: DataFrame) -> DataFrame:
-    return life.agg(
-        F.avg("total_events").alias("avg_events_per_wallet"),
-        F.median("total_events").alias("median_events_per_wallet"),
-        F.avg("active_days").alias("avg_active_days"),
-        F.median("active_days").alias("median_active_days"),
-        share(F.count_if(F.col("total_events") > 1), F.count("*")).alias("repeat_rate"),
-    )
+    one = life.agg(F.avg("total_events").alias("avg_events_per_wallet"), F.avg("active_days").alias("avg_active_days"), share(F.count_if(F.col("total_events") > 1), F.count("*")).alias("repeat_rate"))
+    for c, name in (("total_events", "median_events_per_wallet"), ("active_days", "median_active_days")):
+        one = one.join(exact_quantiles(life, [], c, {name: 0.5}).drop("n"), how="left")
+    return one.select("avg_events_per_wallet", "median_events_per_wallet", "avg_active_days", "median_active_days", "repeat_rate")
 
 
 def value_distribution(staged: DataFrame) -> DataFrame:
-    q = F.percentile("amount", [0.1, 0.5, 0.9, 0.99])
-    out = qualifying(staged).agg(q.alias("q"), F.avg("amount").alias("mean_amount"), F.max("amount").alias("max_amount"))
-    return out.select(F.col("q")[1].alias("median_amount"), "mean_amount", *(F.col("q")[i].alias(n) for i, n in enumerate(["p10_amount", "p50_amount", "p90_amount", "p99_amount"])), "max_amount")
+    rows = qualifying(staged).select("amount")
+    q = exact_quantiles(rows, [], "amount", {f"p{p}_amount": p / 100 for p in (10, 50, 90, 99)}).drop("n")
+    one = rows.agg(F.avg("amount").alias("mean_amount"), F.max("amount").alias("max_amount")).join(q, how="left")
+    return one.select(F.col("p50_amount").alias("median_amount"), "mean_amount", *q.columns, "max_amount")
 
 
 def lorenz_curve(life: DataFrame, n_points: int = 100) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstream.functions.quantiles import exact_quantiles
 from loomstream.functions.ranks import ntile_of, with_rank
 from loomstream.functions.scalar import day, share, week, weeks_between
 
@@ -14,10 +15,10 @@ METRICS = ["active_wallets", "transfer_count", "total_volume", "median_amount"]
 
 
 def _activity(staged: DataFrame, active: DataFrame, name: str, period: Column, quantiles: dict[str, float]) -> DataFrame:
-    tx = qualifying(staged).select(period.alias(name), "amount").groupBy(name)
-    tx = tx.agg(F.count("*").alias("transfer_count"), F.sum("amount").alias("total_volume"), F.percentile("amount", [0.5, *quantiles.values()]).alias("_q"))
-    own = [F.col("_q")[i].alias(c) for i, c in enumerate(["median_amount", *quantiles])]
-    return tx.join(active, name).select(name, "transfer_count", "active_wallets", "total_volume", *own)
+    rows = qualifying(staged).select(period.alias(name), "amount")
+    tx = rows.groupBy(name).agg(F.count("*").alias("transfer_count"), F.sum("amount").alias("total_volume"))
+    ranks = exact_quantiles(rows, [name], "amount", {"median_amount": 0.5, **quantiles}).drop("n")
+    return tx.join(ranks, name, "left").join(active, name).select(name, "transfer_count", "active_wallets", "total_volume", "median_amount", *quantiles)
 
 
 def daily_metrics(staged: DataFrame, daily: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def weekly_metrics(staged: DataFrame, weeks: DataFrame) -> DataFrame:
 
 
 def segment_cutoffs(life: DataFrame) -> DataFrame:
-    return life.agg(F.percentile("total_events", [0.5, 0.9]).alias("e"), F.percentile("total_amount", 0.9).alias("p90_amount")).select(F.col("e")[0].alias("p50_events"), F.col("e")[1].alias("p90_events"), "p90_amount")
+    events = exact_quantiles(life, [], "total_events", {"p50_events": 0.5, "p90_events": 0.9}).drop("n")
+    return events.crossJoin(F.broadcast(exact_quantiles(life, [], "total_amount", {"p90_amount": 0.9}).drop("n")))
 
 
 def wallet_segments(life: DataFrame) -> DataFrame:
@@ -84,9 +86,9 @@ def concentration_by_week(staged: DataFrame) -> DataFrame:
     """The share of each week's volume that its own top tenth of wallets holds."""
     rows = qualifying(wallet_legs(staged)).select(week(F.col("block_timestamp")).alias("activity_week"), "wallet_address", "amount")
     by_wallet = rows.groupBy("activity_week", "wallet_address").agg(F.sum("amount").alias("wallet_amount"))
-    decile = F.ntile(10).over(Window.partitionBy("activity_week").orderBy("wallet_amount"))
-    top = F.sum(F.when(F.col("decile") == 10, F.col("wallet_amount")).otherwise(0))
-    return by_wallet.withColumn("decile", decile).groupBy("activity_week").agg(share(top, F.sum("wallet_amount")).alias("top10pct_volume_share"))
+    ranked = with_rank(by_wallet, "wallet_amount", "rank", within="activity_week")
+    top = F.sum(F.when(ntile_of(F.col("rank"), F.col("n"), 10) == 10, F.col("wallet_amount")).otherwise(0))
+    return ranked.groupBy("activity_week").agg(share(top, F.sum("wallet_amount")).alias("top10pct_volume_share"))
 
 
 def unpivot_metrics(daily: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstream.functions.ranks import with_rank
 from loomstream.functions.scalar import day, week
 
 from .marts import METRICS, unpivot_metrics
@@ -75,10 +76,10 @@ def retention_cells(raw: DataFrame, cells: DataFrame) -> DataFrame:
 def concentration(raw: DataFrame, mart: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Gini as the mean difference of ranked amounts, and top shares cut at the rank where the buckets begin, both from
     a histogram of equal amounts instead of ranks of wallets."""
-    amounts = raw_legs(raw).groupBy("w").agg(F.sum("a").alias("s")).where("s > 0").groupBy("s").agg(F.count("*").alias("m"))
-    upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    h = amounts.withColumn("last", F.sum("m").over(upto)).withColumn("n", F.sum("m").over(whole))
+    amounts = raw_legs(raw).groupBy("w").agg(F.sum("a").alias("s")).where("s > 0")
+    # The last rank of equal amounts ends them, whichever of them has it.
+    ranked = with_rank(amounts.select("s"), "s", "rank")
+    h = ranked.groupBy("s").agg(F.count("*").alias("m"), F.max("rank").alias("last"), F.max("n").alias("n"))
     rank_sum = F.col("m") * (2 * F.col("last") - F.col("m") + 1) / 2
     start = lambda b: F.floor(F.col("n") / 100) * b + F.least(F.col("n") % 100, F.lit(b))
     above = lambda b: F.greatest(F.lit(0), F.least(F.col("m"), F.col("last") - start(b))) * F.col("s")

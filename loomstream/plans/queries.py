@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstream.functions import scalar
@@ -27,8 +28,29 @@ def register(name: str, query: Query, sql: str | None) -> None:
         ORACLES[name] = sql
 
 
+TABLES = {"events": ["events"], "orders": ["orders", "lineitem"]}
+#: Warehouses whose hubs are kept for the next query on the same files; the longest unused goes first.
+KEPT: OrderedDict[tuple, Warehouse] = OrderedDict()
+MOST_KEPT = 4
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """What tells the files of a table from later ones below the same path."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in system.listStatus(hadoop)))
+
+
 def house(spark: SparkSession, sf_dir: str, log: str, dedup: bool = True) -> Warehouse:
-    return Warehouse(LOGS[log](spark, sf_dir), dedup=dedup)
+    """The models of a log; staged events, daily activity and life cycles are kept from one query to the next."""
+    key = (spark.sparkContext.applicationId, log, dedup, *(_files(spark, f"{sf_dir}/{t}.parquet") for t in TABLES[log]))
+    if key not in KEPT:
+        KEPT[key] = Warehouse(LOGS[log](spark, sf_dir), dedup=dedup, share=True)
+        while len(KEPT) > MOST_KEPT:
+            _, old = KEPT.popitem(last=False)
+            old.forget()
+    KEPT.move_to_end(key)
+    return KEPT[key]
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -196,6 +218,53 @@ of("reconcile_anomalies", "events", lambda w: reconcile.anomalies(w.mart_daily_m
 of("reconcile_wallet_sample", "events", lambda w: reconcile.wallet_sample(w.raw, w.int_wallet_lifecycle, w.int_wallet_funnel_flags, w.int_wallet_activation), ZERO)
 
 
+# The same on tampered input: what a check that always answers "fine" would not find.
+nth = lambda n: F.pmod(F.col("block_number"), F.lit(n)) == 0
+
+
+def _damage() -> dict[str, Column]:
+    return {
+        "transaction_hash": F.when(nth(89), None).otherwise(F.col("transaction_hash")),
+        "from_address": F.when(nth(97), "0xNOT").otherwise(F.col("from_address")),
+        "amount": F.when(nth(97), -F.col("amount") - 1).otherwise(F.col("amount")),
+        "token_address": F.when(nth(83), "0x" + "1" * 40).otherwise(F.col("token_address")),
+        "block_timestamp": F.when(nth(79), None).otherwise(F.col("block_timestamp")),
+        "log_index": F.when(nth(73), -1).otherwise(F.col("log_index")),
+    }
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staged events of which some break each check, and some are there twice, against the raw ones."""
+    w = house(spark, sf_dir, "events")
+    bad = w.stg_transfers.withColumns(_damage())
+    return quality.dq_checks(bad.unionByName(bad.where(nth(101))), w.raw, adapters.TOKEN)
+
+
+DAMAGED_SQL = """, once AS (SELECT CASE WHEN block_number % 89 = 0 THEN NULL ELSE transaction_hash END AS h, CASE WHEN block_number % 73 = 0 THEN -1 ELSE log_index END AS i, *  FROM stg),
+d AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE block_number % 101 = 0), per AS (SELECT h, i, count(*) AS n FROM d GROUP BY 1, 2),
+c AS (SELECT unnest([
+  {'check_name': 'transaction_hash_not_null', 'violations': count(*) FILTER (block_number % 89 = 0)}, {'check_name': 'block_number_nonnegative', 'violations': count(*) FILTER (block_number < 0)},
+  {'check_name': 'log_index_nonnegative', 'violations': count(*) FILTER (block_number % 73 = 0)}, {'check_name': 'from_address_format_valid', 'violations': count(*) FILTER (block_number % 97 = 0)},
+  {'check_name': 'to_address_format_valid', 'violations': count(*) FILTER (NOT regexp_full_match(to_address, '0x[0-9a-f]{40}'))}, {'check_name': 'amount_nonnegative', 'violations': count(*) FILTER (block_number % 97 = 0)},
+  {'check_name': 'token_contract_matches_expected', 'violations': count(*) FILTER (block_number % 83 = 0)}, {'check_name': 'block_timestamp_not_null', 'violations': count(*) FILTER (block_number % 79 = 0)},
+  {'check_name': 'event_id_unique', 'violations': count(*) - (SELECT count(*) FROM per)}, {'check_name': 'no_duplicate_transaction_hash_log_index', 'violations': (SELECT count(*) FROM per WHERE n > 1)},
+  {'check_name': 'normalized_row_count_matches_deduped_raw', 'violations': abs(count(*) - (SELECT count(DISTINCT transaction_hash || '-' || log_index) FROM raw))}], recursive := true) FROM d)
+SELECT check_name, CAST(violations AS BIGINT) AS violations, violations = 0 AS passed FROM c"""
+register("dq_checks_damaged", _damaged, model_sql("events", DAMAGED_SQL))
+odd_day = lambda: F.dayofyear("activity_date") % 2 == 1
+odd_week = lambda: F.weekofyear("activity_week") % 2 == 1
+odd_wallet = lambda: F.substring("wallet_address", -1, 1) == "7"
+more = lambda c, test: F.when(test, F.col(c) + 1).otherwise(F.col(c))
+of("reconcile_daily_tampered", "events", lambda w: reconcile.activity(w.raw, w.mart_daily_metrics.withColumn("transfer_count", more("transfer_count", odd_day())), "activity_date"), "SELECT count(*) AS mismatches FROM daily_metrics WHERE dayofyear(activity_date) % 2 = 1")
+of("reconcile_weekly_tampered", "events", lambda w: reconcile.activity(w.raw, w.mart_weekly_metrics.withColumn("active_wallets", more("active_wallets", odd_week())), "activity_week"), "SELECT count(*) AS mismatches FROM weekly_metrics WHERE weekofyear(activity_week) % 2 = 1")
+of("reconcile_wallet_totals_tampered", "events", lambda w: reconcile.wallet_totals(w.raw, w.int_wallet_lifecycle.withColumn("total_amount", more("total_amount", odd_wallet())).where(F.substring("wallet_address", -1, 1) != "9")), "SELECT count(*) AS mismatches FROM life WHERE right(wallet_address, 1) IN ('7', '9')")
+of("reconcile_retention_tampered", "events", lambda w: reconcile.retention_cells(w.raw, w.mart_retention_cohorts.withColumn("is_mature", F.col("is_mature") & (F.col("week_offset") % 3 != 0))), "SELECT count(*) AS mismatches FROM cells WHERE is_mature AND week_offset % 3 = 0")
+of("reconcile_self_flag_tampered", "events", lambda w: reconcile.self_flag(w.raw.withColumn("is_self_transfer", F.col("is_self_transfer") | nth(97))), "SELECT count(*) AS mismatches FROM raw WHERE block_number % 97 = 0 AND from_address <> to_address")
+of("reconcile_concentration_tampered", "events", lambda w: reconcile.concentration(w.raw, w.mart_concentration.withColumns({"gini_coefficient": F.col("gini_coefficient") - 0.05, "top1pct_volume_share": F.col("top1pct_volume_share") + 0.01})), "SELECT CAST(2 AS BIGINT) AS mismatches FROM conc")
+of("reconcile_anomalies_tampered", "events", lambda w: reconcile.anomalies(w.mart_daily_metrics, w.mart_anomalies.withColumn("is_anomaly", F.col("is_anomaly") != odd_day())), "SELECT count(*) AS mismatches FROM anomalies WHERE dayofyear(activity_date) % 2 = 1")
+of("reconcile_wallet_sample_tampered", "events", lambda w: reconcile.wallet_sample(w.raw, w.int_wallet_lifecycle, w.int_wallet_funnel_flags.withColumn("has_second_event", F.when(odd_wallet(), 1 - F.col("has_second_event")).otherwise(F.col("has_second_event"))), w.int_wallet_activation, 20), ", s AS ((SELECT wallet_address FROM life ORDER BY total_events DESC, wallet_address LIMIT 10) UNION (SELECT wallet_address FROM life ORDER BY sha256(wallet_address) LIMIT 10)) SELECT count(*) AS mismatches FROM s WHERE right(wallet_address, 1) = '7'")
+
+
 # Experiments on customers: a unit converts with an order over 200,000, its metric is its largest order.
 def experiment_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"))
@@ -212,25 +281,24 @@ register("assign_units", lambda s, d: experiment_frame(s, d).select("unit_id", "
 register("srm_counts", lambda s, d: experiment_frame(s, d).groupBy("group").agg(F.count("*").alias("n")), FRAME + 'SELECT "group", count(*) AS n FROM x GROUP BY 1')
 
 
+def _arms(spark: SparkSession, sf_dir: str) -> tuple[Row, Row]:
+    arms = {r["group"]: r for r in experiments.arm_statistics(experiment_frame(spark, sf_dir)).collect()}
+    return arms[experiments.CONTROL], arms[experiments.TREATMENT]
+
+
 def _ztest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arms = experiments.arm_statistics(experiment_frame(spark, sf_dir))
-    one = arms.groupBy().pivot("group", ["control", "treatment"]).agg(F.first("n").alias("n"), F.first("conversions").alias("x"))
-    p, q = F.col("treatment_x") / F.col("treatment_n"), F.col("control_x") / F.col("control_n")
-    pool = (F.col("treatment_x") + F.col("control_x")) / (F.col("treatment_n") + F.col("control_n"))
-    z = F.try_divide(p - q, F.sqrt(pool * (1 - pool) * (1 / F.col("treatment_n") + 1 / F.col("control_n"))))
-    return one.select(F.round(q, 8).alias("control_rate"), F.round(p, 8).alias("treatment_rate"), F.round(z, 6).alias("z"))
+    c, t = _arms(spark, sf_dir)
+    z = experiments.two_proportion_ztest(c["conversions"], c["n"], t["conversions"], t["n"])
+    return spark.createDataFrame([(round(z["control_rate"], 8), round(z["treatment_rate"], 8), round(z["z"], 6))], "control_rate double, treatment_rate double, z double")
 
 
 register("ztest_components", _ztest, FRAME + ', a AS (SELECT avg(converted) FILTER ("group" = \'control\') AS q, avg(converted) FILTER ("group" = \'treatment\') AS p, avg(converted) AS r, count(*) FILTER ("group" = \'control\') AS n, count(*) FILTER ("group" = \'treatment\') AS m FROM x) SELECT round(q, 8) AS control_rate, round(p, 8) AS treatment_rate, round((p - q) / sqrt(r * (1 - r) * (1.0 / n + 1.0 / m)), 6) AS z FROM a')
 
 
 def _welch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arms = experiments.arm_statistics(experiment_frame(spark, sf_dir))
-    one = arms.groupBy().pivot("group", ["control", "treatment"]).agg(F.first("n").alias("n"), F.first("mean").alias("m"), F.first("variance").alias("v"))
-    a, b = F.col("control_v") / F.col("control_n"), F.col("treatment_v") / F.col("treatment_n")
-    t = F.try_divide(F.col("treatment_m") - F.col("control_m"), F.sqrt(a + b))
-    df = F.try_divide((a + b) * (a + b), a * a / (F.col("control_n") - 1) + b * b / (F.col("treatment_n") - 1))
-    return one.select(F.round(t, 6).alias("t"), F.round(df, 4).alias("df"))
+    c, t = _arms(spark, sf_dir)
+    w = experiments.welch_ttest(c["mean"], c["variance"], c["n"], t["mean"], t["variance"], t["n"])
+    return spark.createDataFrame([(round(w["t"], 6), round(w["df"], 4))], "t double, df double")
 
 
 register("welch_components", _welch, FRAME + ', a AS (SELECT avg(y) FILTER ("group" = \'treatment\') - avg(y) FILTER ("group" = \'control\') AS d, var_samp(y) FILTER ("group" = \'control\') / count(*) FILTER ("group" = \'control\') AS a, var_samp(y) FILTER ("group" = \'treatment\') / count(*) FILTER ("group" = \'treatment\') AS b, count(*) FILTER ("group" = \'control\') AS n, count(*) FILTER ("group" = \'treatment\') AS m FROM x) SELECT round(d / sqrt(a + b), 6) AS t, round((a + b) * (a + b) / (a * a / (n - 1) + b * b / (m - 1)), 4) AS df FROM a')
@@ -268,6 +336,14 @@ register(
 of("join_full_outer_diff", "events", lambda w: w.int_wallet_daily_activity.alias("a").join(w.mart_daily_metrics.alias("b"), F.col("a.activity_date") == F.col("b.activity_date"), "full_outer").agg(F.count_if(F.col("a.activity_date").isNull() | F.col("b.activity_date").isNull()).alias("unmatched"), F.count("*").alias("rows")), "SELECT count(*) FILTER (a.activity_date IS NULL OR b.activity_date IS NULL) AS unmatched, count(*) AS rows FROM daily a FULL JOIN daily_metrics b ON a.activity_date = b.activity_date")
 of("join_band_left", "orders", lambda w: wallets.activation(w.int_wallet_daily_activity, w.int_wallet_first_seen, days=30, least=3).select("wallet_address", "distinct_days_in_first_30d", "is_activated"), "SELECT f.wallet_address, count(DISTINCT activity_date) AS distinct_days_in_first_30d, count(DISTINCT activity_date) >= 3 AS is_activated FROM first_seen f LEFT JOIN daily d ON d.wallet_address = f.wallet_address AND activity_date < first_seen_date + INTERVAL 30 DAY GROUP BY 1")
 of("join_left_anti", "events", lambda w: w.int_wallet_first_seen.join(staging.qualifying(w.stg_transfers), F.col("wallet_address") == F.col("from_address"), "left_anti").select("wallet_address"), "SELECT wallet_address FROM first_seen f WHERE NOT EXISTS (SELECT 1 FROM stg WHERE from_address = f.wallet_address AND NOT is_self_transfer)")
+of("join_left_anti_suppliers", "orders", lambda w: w.int_wallet_first_seen.join(staging.qualifying(w.stg_transfers).where("amount > 90000"), F.col("wallet_address") == F.col("from_address"), "left_anti").select("wallet_address"), "SELECT wallet_address FROM first_seen f WHERE NOT EXISTS (SELECT 1 FROM stg WHERE from_address = f.wallet_address AND NOT is_self_transfer AND amount > 90000)")
+of("order_by_all", "events", lambda w: w.mart_daily_metrics.select("activity_date", "transfer_count").orderBy("activity_date", "transfer_count"), "SELECT activity_date, transfer_count FROM daily_metrics ORDER BY ALL")
+CUT = "2000-06-15"
+register(
+    "retention_cohorts_censored",
+    lambda spark, sf_dir: Warehouse(adapters.orders_log(spark, sf_dir, before=CUT)).mart_retention_cohorts,
+    model_sql("orders", "SELECT * FROM cells").replace("JOIN orders ON l_orderkey = o_orderkey)", f"JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < TIMESTAMP '{CUT}')"),
+)
 of("join_left_semi", "orders", lambda w: w.stg_wallet_events.join(reconcile.sampled_wallets(w.int_wallet_lifecycle, 20), "wallet_address", "left_semi").select("event_id", "wallet_address"), ", s AS ((SELECT wallet_address FROM life ORDER BY total_events DESC, wallet_address LIMIT 10) UNION (SELECT wallet_address FROM life ORDER BY sha256(wallet_address) LIMIT 10)) SELECT event_id, wallet_address FROM legs WHERE wallet_address IN (SELECT wallet_address FROM s)")
 of("union_distinct", "events", lambda w: w.stg_transfers.select(F.col("from_address").alias("w")).union(w.stg_transfers.select("to_address")).distinct(), "SELECT from_address AS w FROM stg UNION SELECT to_address FROM stg")
 of("topk_wallets", "orders", lambda w: w.int_wallet_lifecycle.select("wallet_address", "total_events").orderBy(F.desc("total_events"), "wallet_address").limit(25), "SELECT wallet_address, total_events FROM life ORDER BY total_events DESC, wallet_address LIMIT 25")

@@ -19,9 +19,18 @@ class Warehouse:
     dedup: bool = True
     share: bool = False  # keep the hubs in storage, for callers that compute many models
     report: dict[str, float] = field(default_factory=dict)
+    _kept: list[DataFrame] = field(default_factory=list, repr=False)
 
     def _hub(self, df: DataFrame) -> DataFrame:
-        return df.persist() if self.share else df
+        if self.share:
+            self._kept.append(df.persist())
+        return df
+
+    def forget(self) -> None:
+        """Give the hubs' storage back; they are computed again where they are still asked for."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
 
     @cached_property
     def stg_transfers(self) -> DataFrame:

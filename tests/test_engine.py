@@ -5,13 +5,15 @@ import json
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomstream import registry
 from loomstream.functions import scalar, stats
+from loomstream.functions.quantiles import exact_quantiles
 from loomstream.functions.ranks import ntile_of, with_rank
-from loomstream.operators import experiments, findings, marts, quality, reconcile, staging
+from loomstream.operators import analytics, experiments, findings, marts, quality, reconcile, staging
 from loomstream.plans.warehouse import Warehouse
 from loomstream.schema import RAW_TRANSFERS
 from loomstream.sources import segments
@@ -204,3 +206,53 @@ def test_findings(spark, tmp_path):
     report = {"start_block": one["min_block"], "end_block": one["max_block"], "row_count": one["raw_events"], "first_event_at": one["first_event_at"], "last_event_at": one["last_event_at"]}
     assert findings.window_matches(report, found) == [] and len(findings.window_matches(report | {"row_count": 1, "end_block": 1}, found)) == 2
     assert findings.plain({"a": float("nan"), 1: [1 / 3]}) == {"a": None, "1": [0.3333333333]}
+
+
+@pytest.mark.parametrize("small", [5, 100_000])
+def test_exact_quantiles(spark, small):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(0, 1, 4001), "b": rng.integers(0, 9, 3000).astype(float), "c": np.array([3.0]), "d": np.full(2000, 7.0), "e": rng.pareto(1.1, 2500)}
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("a", None), ("f", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r["k"]: r for r in exact_quantiles(frame, ["k"], "v", probs, small=small).collect()}
+    assert got.keys() == groups.keys()
+    for k, values in groups.items():
+        assert got[k]["n"] == len(values) and all(abs(got[k][name] - np.quantile(values, p)) < 1e-9 for name, p in probs.items())
+    one = exact_quantiles(frame, [], "v", {"m": 0.5}, small=small).collect()
+    assert len(one) == 1 and abs(one[0]["m"] - np.median(np.concatenate(list(groups.values())))) < 1e-9
+    assert exact_quantiles(frame.limit(0), ["k"], "v", probs).count() == 0 and exact_quantiles(frame.limit(0), [], "v", {"m": 0.5}).first()["m"] is None
+
+
+def test_rank_within(spark):
+    df = spark.range(300).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"))
+    rows = with_rank(df, "v", "r", within="g").collect()
+    for g in range(3):
+        own = sorted(((r["r"], r["v"]) for r in rows if r["g"] == g))
+        assert [r for r, _ in own] == list(range(1, 101)) and [v for _, v in own] == sorted(v for _, v in own) and {r["n"] for r in rows} == {100}
+
+
+def test_library_anomalies_and_gini(spark):
+    values = [float(x) for x in (10, 11, 9, 10, 12, 8, 10, 11, 9, 10, 10, 11, 12, 9, 10, 60, 10, 11)]
+    series = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    scored = {r["i"]: r for r in analytics.detect_anomalies(series, "i", "x").collect()}
+    assert [i for i, r in scored.items() if r["is_anomaly"]] == [15]
+    assert scored[6]["rolling_median"] is None and scored[7]["rolling_median"] == 10.0 and scored[13]["rolling_mad"] is None and scored[14]["rolling_mad"] is not None
+    deviations = [abs(values[j] - float(np.median(values[j - 7 : j]))) for j in range(8, 15)]
+    z = 0.6745 * (60 - float(np.median(values[8:15]))) / float(np.median(deviations))
+    assert abs(scored[15]["robust_z_score"] - z) < 1e-9
+    flat = spark.createDataFrame([(i, 5.0 if i < 19 else 500.0) for i in range(20)], "i int, x double")
+    assert analytics.detect_anomalies(flat, "i", "x").where("is_anomaly OR robust_z_score IS NOT NULL").isEmpty()
+    gini = lambda v: analytics.gini_coefficient(spark.createDataFrame([(float(x),) for x in v], "x double"), "x")
+    assert gini([1, 1, 1, 1]) == 0 and abs(gini([0, 1, 3]) - 0.25) < 1e-12 and gini([0, -1]) == 0
+
+
+def test_welch_and_power():
+    a, b = np.arange(10.0), np.arange(12.0) * 1.5 + 1
+    w = experiments.welch_ttest(a.mean(), a.var(ddof=1), 10, b.mean(), b.var(ddof=1), 12)
+    se = math.sqrt(a.var(ddof=1) / 10 + b.var(ddof=1) / 12)
+    assert abs(w["t"] - (b.mean() - a.mean()) / se) < 1e-12 and 17 < w["df"] < 20 and w["ci_low"] < w["difference"] < w["ci_high"]
+    assert abs(stats.t_two_sided(w["t"], w["df"]) - w["p_value"]) < 1e-12
+    n = experiments.sample_size_two_means(10, 2)
+    assert n == 393
+    assert abs(experiments.minimum_detectable_effect_two_proportions(experiments.sample_size_two_proportions(0.1, 0.02), 0.1) - 0.02) < 0.002
