@@ -60,6 +60,13 @@ def select_as(df: DataFrame, **columns: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
+def joinable(df: DataFrame) -> DataFrame:
+    """A side of a join that is cut off from its plan and broadcast if it is short.  A longer one is shuffled; as it is
+    no longer the aggregate itself, adaptive execution can split a hot key of the other side."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """docs' rows but those whose keys (by name in dropped) are among dropped; null equals null.  Only a short list of
     dropped rows is broadcast, after it is counted; else both sides are shuffled with the list as the hashed side."""

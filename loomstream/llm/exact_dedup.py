@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, select_as, text_or_empty
+from .common import checkpoint, joinable, select_as, text_or_empty
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -25,15 +25,16 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Of equal texts the row with the smallest id stays (null ids last); of repeated rows with one id, one stays.  Null
     text equals empty text.  No rows give no rows; further columns of docs are ignored.  Group counts are aggregated
-    before they are shuffled, so a group may hold any share of the rows.
+    before they are shuffled, so a group may hold any share of the rows; the lists of sizes, prefixes and groups that
+    recur are broadcast if they are short, so that no size is one task's.
     """
     text = select_as(docs, doc_id=id_col, text=text_col).select("doc_id", normalised().alias("norm"))
     digest = F.unhex(F.sha2("norm", 256))
     size, head = F.octet_length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head")
     rows = checkpoint(text.select("doc_id", size, head, *([digest.alias("digest")] if digest_all else [])))
-    same_size = rows.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
+    same_size = joinable(rows.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size"))
     by_size = rows.join(same_size, "size", "left_semi")
-    same_head = by_size.groupBy("size", "head").agg(F.count("*").alias("n")).where("n > 1").select("size", "head")
+    same_head = joinable(by_size.groupBy("size", "head").agg(F.count("*").alias("n")).where("n > 1").select("size", "head"))
     by_head = by_size.join(same_head, ["size", "head"], "left_semi")
     if digest_all:
         full = by_head
@@ -42,7 +43,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         read = text.join(ids, text["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("doc_id", size, head, digest.alias("digest"))
         full = checkpoint(read.join(same_head, ["size", "head"], "left_semi"))
     key = ["size", "head", "digest"]
-    groups = full.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = joinable(full.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     single = rows if digest_all else rows.join(same_head, ["size", "head"], "left_anti").withColumn("digest", F.lit(None).cast("binary"))
     every = single if digest_all else single.unionByName(full)
     copies = every.groupBy("doc_id", *key).agg(F.count("*").cast("int").alias("copies"))
