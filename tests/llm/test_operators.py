@@ -181,7 +181,11 @@ def test_jaccard_large_regions(spark, monkeypatch):
     assert whole == {i: root(i) for i in sets}
 
 
-def test_remove_repeats(docs, rows, empty):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_remove_repeats(docs, rows, empty, hot, monkeypatch):
+    from loomstream.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     length = 100
     count = collections.Counter(b[i : i + length] for r in rows for b in [(r[1] or "").encode()] for i in range(len(b) - length + 1))
     want = {}
@@ -199,6 +203,20 @@ def test_remove_repeats(docs, rows, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_index_family_matches_across_batches():
+    from loomstream.llm.suffix_dedup import IndexFamily
+
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 99, 3000).astype(np.uint8)
+    raw[2000:2300] = raw[100:400]
+    family = IndexFamily(50)
+    for i in range(0, 3000, 500):  # batches of whole windows only
+        family.add(raw[i : i + 500], np.arange(451))
+    windows = [raw[i + k : i + k + 50].tobytes() for i in range(0, 3000, 500) for k in range(451)]
+    count = collections.Counter(windows)
+    assert family.matches().tolist() == [count[w] > 1 for w in windows] and len(family.levels) <= 4
+
+
 def test_lm_scores(docs, rows, empty):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     words = [(r[0], [*(r[1] or "").encode().lower().split(), b" end"]) for r in rows]
