@@ -4,7 +4,7 @@ A string of `length` bytes that occurs twice is found without indexing every suf
 hash in a window of `length` bytes depends on the window's bytes alone, so equal windows have equal anchors, at the
 same place in the window.  Runs of consecutive windows with one anchor are the units:
 
-* Runs of equal bytes are counted by a 128-bit hash of their content: all windows of a run that is there twice recur.
+* Runs of equal bytes are counted by 128 bits, their anchor and a hash of their content: all windows of a run that is there twice recur.
 * Of runs whose anchor has several contents, one run of each content is sent on with its bytes, dealt by anchor (a very
   frequent anchor also by the anchor's place in the window).  Each task keeps an index family over the suffixes (window
   starts) that it is sent: a new batch is sorted into a suffix array, merge-scanned against every level for matches of
@@ -92,10 +92,10 @@ def runs(offsets: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray,
     return text[first], first, size, hashes[own], own - first
 
 
-def content_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+def content_hashes(raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each of the byte strings raw[first:end]."""
-    base = (0xA0761D6478BD642F + 2 * seed) | 1
-    of_byte = mixed(np.arange(256, dtype=np.uint64) + np.uint64(seed * 256 + 7))
+    base = 0xA0761D6478BD642F
+    of_byte = mixed(np.arange(256, dtype=np.uint64) + np.uint64(775))
     powers = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(raw), x, np.uint64)]))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(of_byte[raw] * powers(np.uint64(base))[:-1], dtype=np.uint64)])
     back = powers(np.uint64(pow(base, -1, 1 << 64)))
@@ -205,20 +205,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for i, j in slices(offsets):
                 own = raw[offsets[i] : offsets[j]]
                 text, first, size, anchor, place = runs(offsets[i : j + 1] - offsets[i], own, length)
-                one, two = (content_hashes(own, first, first + size + (length - 1), seed) for seed in (3, 4))
+                content = content_hashes(own, first, first + size + (length - 1))
                 start = first - (offsets[i:j][text] - offsets[i])
                 take = pa.array(text + i)
-                columns = [*(batch.column(c).take(take) for c in (1, 2)), *(pa.array(x.view(np.int64)) for x in (anchor, one, two)), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(place, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["more", "hash", "anchor", "one", "two", "start", "size", "place"])
+                columns = [*(batch.column(c).take(take) for c in (1, 2)), *(pa.array(x.view(np.int64)) for x in (anchor, content)), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(place, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["more", "hash", "anchor", "content", "start", "size", "place"])
         release()
 
-    found = rows.select("text", "more", "hash").mapInArrow(scan, "more long, hash long, anchor long, one long, two long, start long, size int, place int")
-    content = ["anchor", "one", "two"]
-    contents = found.groupBy(*content).agg(F.count("*").alias("n"), F.min("hash").alias("least"))
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    listed = contents.join(kinds, "anchor", "left").where("n > 1 OR kinds > 1").select(*content, (F.col("n") > 1).alias("whole"), F.coalesce("kinds", F.lit(0)).alias("kinds"), "least")
+    found = rows.select("text", "more", "hash").mapInArrow(scan, "more long, hash long, anchor long, content long, start int, size int, place int")
+    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("hash").alias("least"))
+    # The conditions that always hold keep both uses of the counts alike, so that one scan and shuffle serves them.
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("_n"), F.count("least").alias("_least")).where("kinds > 1 AND _n > 0 AND _least > 0").select("anchor", "kinds")
+    listed = contents.join(kinds, "anchor", "left").where("n > 1 OR kinds > 1").select("anchor", "content", (F.col("n") > 1).alias("whole"), F.coalesce("kinds", F.lit(0)).alias("kinds"), "least")
     # Of a content the runs of one text are sent on: what they match tells of all, or all are known to recur.
-    listed = found.join(listed, content).select("more", "hash", F.struct("anchor", "start", "size", "place", "whole", F.when((F.col("kinds") > 1) & (F.col("hash") == F.col("least")), F.when(F.col("kinds") > HOT, 2).otherwise(1)).otherwise(0).alias("send")).alias("run"))
+    listed = found.join(listed, ["anchor", "content"])
+    way = F.when((F.col("kinds") > 1) & (F.col("hash") == F.col("least")), F.when(F.col("kinds") > HOT, 2).otherwise(1)).otherwise(0)
+    listed = listed.withColumn("send", way.cast("byte")).select("more", "hash", F.struct(F.when(F.col("send") > 0, F.col("anchor")).alias("anchor"), "start", "size", "place", "whole", "send").alias("run"))
     of_text = listed.groupBy("hash", "more").agg(F.collect_list("run").alias("runs"))
     dealt = rows.repartition("hash", "more")
 
@@ -230,13 +232,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             anchor, start, size, place, whole, sent = (f.to_numpy(zero_copy_only=False) for f in fields)
             row, out = [], [[], [], [], [], []]
             for k in range(batch.num_rows):
-                for r in range(at[k], at[k + 1]):
-                    if whole[r]:  # known to recur: goes straight to the spans
+                own = np.arange(at[k], at[k + 1])
+                known = own[whole[own]]
+                if len(known):  # runs known to recur go straight to the spans, joined where they meet
+                    begins = np.sort(start[known])
+                    stops = np.maximum.accumulate((start[known] + size[known])[np.argsort(start[known], kind="stable")] + length - 1)
+                    new = np.flatnonzero(np.concatenate([[True], begins[1:] > stops[:-1]]))
+                    for a, b in zip(begins[new].tolist(), stops[np.append(new[1:], len(stops)) - 1].tolist(), strict=True):
                         row.append(k)
-                        for column, value in zip(out, (None, 0, start[r], start[r] + size[r] + length - 1, None), strict=True):
+                        for column, value in zip(out, (None, 0, a, b, None), strict=True):
                             column.append(value)
-                    if not sent[r]:
-                        continue
+                for r in own[sent[own] > 0].tolist():
                     pieces = [(0, int(size[r]))]
                     if sent[r] == 2:  # pieces in which the anchor's place falls in one range of SPLIT
                         cuts = sorted({0, int(size[r]), *(c for c in range(int(place[r]) % SPLIT + 1, int(size[r]), SPLIT))})
