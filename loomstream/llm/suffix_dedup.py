@@ -191,13 +191,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     The scan makes one row for each run (about one in 85 bytes); they are counted by content and by anchor, with partial
     counts before each shuffle, and those that recur in any way are listed by text.  Only for runs whose anchor has
     several contents are bytes sent on, of one run for each content.  Texts are dealt once by (id, hash of text) and
-    that shuffle serves both passes over them; a row is known by 128 bits of hashes of its id and text.
+    that shuffle serves both passes over them; a row is known by 96 bits of hashes of its id and text.
     """
     if length <= KMER:
         raise ValueError(f"length must be over {KMER}")
     rows = select_as(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text")).withColumn("more", F.xxhash64(F.lit("more"), "text", "doc_id"))
+    rows = rows.withColumn("hash", F.xxhash64("doc_id", "text")).withColumn("more", F.hash(F.lit("more"), "text", "doc_id"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(columns, ["more", "hash", "anchor", "content", "start", "size", "place"])
         release()
 
-    found = rows.select("text", "more", "hash").mapInArrow(scan, "more long, hash long, anchor long, content long, start int, size int, place int")
+    found = rows.select("text", "more", "hash").mapInArrow(scan, "more int, hash long, anchor long, content long, start int, size int, place int").where("anchor IS NOT NULL AND content IS NOT NULL")
     contents = found.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("hash").alias("least"))
     # The conditions that always hold keep both uses of the counts alike, so that one scan and shuffle serves them.
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("_n"), F.count("least").alias("_least")).where("kinds > 1 AND _n > 0 AND _least > 0").select("anchor", "kinds")
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         release()
 
     # Both passes over the dealt texts read the same columns, so that one shuffle serves them.
-    sent = dealt.join(of_text, ["hash", "more"]).select("text", "hash", "more", "runs", "doc_id").mapInArrow(send, "more long, hash long, anchor long, part int, begin long, end long, content binary")
+    sent = dealt.join(of_text, ["hash", "more"]).select("text", "hash", "more", "runs", "doc_id").mapInArrow(send, "more int, hash long, anchor long, part int, begin long, end long, content binary")
     # The runs that are known to recur pass the search; they have no bytes, and are dealt by their text.
     sent = sent.repartition(F.coalesce("anchor", "hash"), "part")
 
@@ -296,7 +296,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         yield pa.RecordBatch.from_arrays([ids.take(take), hashes.take(take), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], names)
         release()
 
-    spans = sent.select("more", "hash", "anchor", "begin", "end", "content").mapInArrow(search, "more long, hash long, begin long, end long")
+    spans = sent.select("more", "hash", "anchor", "begin", "end", "content").mapInArrow(search, "more int, hash long, begin long, end long")
     spans = spans.groupBy("hash", "more").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     text_col_type = ", kept_text string" if keep_text else ""
 
