@@ -7,8 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEVELS = 16
-STEPS = 6
+from .common import written
+
+LEVELS = 64
+#: Shares of a query's postings after which its bounds are looked at.
+STOPS = (0.85, 1.0)
 
 
 def quantised(vector: str, scale: int) -> Column:
@@ -21,57 +24,73 @@ def quantised(vector: str, scale: int) -> Column:
 class ImpactIndex:
     """Posting segments of one block of integer vectors.
 
-    A segment holds the vectors whose component in a dimension falls in one of LEVELS equal ranges, with the least and
-    largest value there.  For a query a segment's impact is an interval; segments are processed by descending upper
-    end of it.
+    A segment holds the vectors whose component in a dimension falls in one of LEVELS equal ranges; its level stands for
+    their values.  A query's impact on a segment is its component times the level.  Segments of one dimension lie in the
+    order of their levels, so those with impacts between two limits are one slice of the dimension's postings.
     """
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = vectors
+        self.vectors, self.real = vectors, vectors.astype(np.float64)
         n, d = vectors.shape
-        low = vectors.min(0)
-        span = vectors.max(0) - low + 1
-        level = ((vectors - low) * LEVELS // span).astype(np.int64)
-        segment = level + np.arange(d) * LEVELS
-        order = np.argsort(segment.T.reshape(-1), kind="stable")
-        flat = segment.T.reshape(-1)[order]
-        self.posting = (order % n).astype(np.int64)
-        value = vectors.T.reshape(-1)[order]
-        first = np.flatnonzero(np.diff(flat, prepend=-1))
-        self.dim = flat[first] // LEVELS
-        self.begin, self.end = first, np.append(first[1:], len(flat))
-        self.least, self.most = np.minimum.reduceat(value, first), np.maximum.reduceat(value, first)
-
-    def search(self, query: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) that hold the k best rows and their ties; skip: a row that takes no part."""
+        low = self.real.min(0)
+        width = (self.real.max(0) - low + 1) / LEVELS
+        step = np.floor((self.real - low) / width)
+        level = low + (step + 0.5) * width
+        order = np.argsort(step, axis=0, kind="stable")
+        self.posting = np.ascontiguousarray(order.T)
+        self.level = np.ascontiguousarray(np.take_along_axis(level, order, 0).T)
+        # How far a row lies from its levels: by Cauchy and Schwarz no score is off by more than that times the query.
+        self.off = np.sqrt(((self.real - level) ** 2).sum(1)) * (1 + 1e-9)
+        self.longest = float(np.sqrt((self.real**2).sum(1).max()))
+        self.most = float(np.abs(self.real).max())
+
+    def search(self, query: np.ndarray, k: int, skip: int = -1, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) that hold the k best rows and their ties as far as scores reach floor; skip takes no part."""
         n, d = self.vectors.shape
-        a, b = query[self.dim] * self.least, query[self.dim] * self.most
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        dim_lo, dim_hi = np.full(d, np.iinfo(np.int64).max), np.full(d, np.iinfo(np.int64).min)
-        np.minimum.at(dim_lo, self.dim, lo)
-        np.maximum.at(dim_hi, self.dim, hi)
-        # Bounds of each row's score: each dimension counts as its widest range until the row's segment is processed.
-        low, high = np.full(n, float(dim_lo.sum())), np.full(n, float(dim_hi.sum()))
-        if skip >= 0:
-            low[skip] = high[skip] = -np.inf
-        order = np.argsort(-hi, kind="stable")
+        q = query.astype(np.float64)
+        length = float(np.sqrt(q @ q))
+        slack = self.off * length + 1 + 1e-9 * length * self.longest
+        # The limits of impact that the stops lie at, from every 64th posting of each dimension.
+        impacts = np.sort((q[:, None] * self.level[:, :: max(1, n // 64)]).reshape(-1))[::-1]
+        limits = [impacts[int(stop * len(impacts)) - 1] if stop < 1 else -np.inf for stop in STOPS]
+        # Until its segment is processed a dimension counts as the first limit, which is no less than what it can add.
+        score = np.full(n, d * limits[0])
+        done = np.zeros(d, np.int64)
         possible = np.arange(n)
-        for part in np.array_split(order, STEPS):
-            sizes = self.end[part] - self.begin[part]
-            at = np.repeat(self.begin[part] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            rows = self.posting[at]
-            low += np.bincount(rows, np.repeat(lo[part] - dim_lo[self.dim[part]], sizes), n)
-            high += np.bincount(rows, np.repeat(hi[part] - dim_hi[self.dim[part]], sizes), n)
-            threshold = np.partition(low, n - k)[n - k] if n > k else -np.inf
-            possible = np.flatnonzero(high >= threshold)
-            if len(possible) <= 8 * k:  # the bounds prove that no other row belongs to the result
+        for at, limit in enumerate(limits):
+            for j, x in enumerate(q):
+                # Descending impact: from the largest level down for positive components, else from the least level up.
+                if x > 0:
+                    upto = n - np.searchsorted(self.level[j], limit / x, "right")
+                elif x < 0:
+                    upto = np.searchsorted(self.level[j], limit / x, "left")
+                else:
+                    upto = n if limit < 0 else 0
+                begin, upto = done[j], max(done[j], upto)
+                span = slice(begin, upto) if x <= 0 else slice(n - upto, n - begin)
+                score[self.posting[j, span]] += x * self.level[j, span] - limits[0]
+                done[j] = upto
+            high = score + slack
+            if skip >= 0:
+                high[skip] = -np.inf
+            least = floor
+            if limit == -np.inf and n > k + (skip >= 0):
+                low = score - slack
+                if skip >= 0:
+                    low[skip] = -np.inf
+                least = max(floor, np.partition(low, n - k)[n - k])
+            possible = np.flatnonzero(high >= least)
+            # The bounds prove that no other row belongs to the result; scoring the rest is less than another step.
+            if len(possible) * 8 <= n:
                 break
         if skip >= 0:
             possible = possible[possible != skip]
-        return possible, self.vectors[possible] @ query
+        exact = self.most * float(np.abs(q).max(initial=0)) * d < 2**53
+        found = (self.real[possible] @ q).astype(np.int64) if exact else self.vectors[possible] @ query
+        return possible[found >= floor], found[found >= floor]
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, block: int = 8192, query_block: int = 8192) -> DataFrame:
     """The k highest inner products of floor(scale * x) vectors for each query: query_id, rank, id, score.
 
     All of a query's candidates are searched but rows with the query's own id; with fewer, all are returned.  Ties go
@@ -79,16 +98,20 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
     do rows with a null id; only vectors of equal length are compared.  Of rows with one id and equal vectors each is
     a candidate; a query id that is given twice is searched once for each distinct vector.  Empty tables give no rows.
 
-    Queries and candidates are dealt by hash into blocks and each pair of blocks is one group: a task indexes at most
-    a few times `block` vectors, processes segments by descending impact and stops only when the score bounds prove
-    which rows can be among the best; those are scored exactly.  Partial results are k rows and ties a query and block.
+    Queries and candidates are dealt by hash into blocks and each pair of blocks is one group: a task holds at most a
+    few times `block` vectors and `query_block` queries, so that a block is indexed once for thousands of queries.  It
+    processes segments by descending impact and stops only when the score bounds prove which rows can be among the best;
+    those are scored exactly.  Each query meets one block first; its k-th score there is a floor that all other blocks
+    prune by, so that most of them return few of its rows or none.
     """
     as_rows = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), quantised(f"`{vec_col}`", scale).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
     n_blocks, n_query_blocks = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // query_block))
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = as_rows(queries).distinct().select("id", "vector", F.size("vector").alias("dims"), deal(n_query_blocks, 1).alias("qb"), every(n_blocks).alias("cb"))
-    right = as_rows(vectors).select("id", "vector", F.size("vector").alias("dims"), every(n_query_blocks).alias("qb"), deal(n_blocks, 2).alias("cb"))
+    home = F.pmod("qb", F.lit(n_blocks))
+    others = F.filter(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda c: c != home)
+    every = F.sequence(F.lit(0), F.lit(n_query_blocks - 1))
+    left = as_rows(queries).distinct().withColumn("dims", F.size("vector")).withColumn("qb", deal(n_query_blocks, 1))
+    right = as_rows(vectors).withColumn("dims", F.size("vector")).withColumn("cb", deal(n_blocks, 2)).withColumn("qb", F.explode(every))
 
     def matrix(table: pa.Table) -> np.ndarray:
         column = table["vector"].combine_chunks()
@@ -100,10 +123,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
             order = np.argsort(there["id"].to_numpy(), kind="stable")
             ids, rows = there["id"].to_numpy()[order], matrix(there)[order]
             index = ImpactIndex(rows) if rows.shape[1] else None
-            for q, vector in zip(asked["id"].to_numpy().tolist(), matrix(asked), strict=True):
+            floors = asked["floor"].fill_null(np.iinfo(np.int64).min).to_pylist()
+            for q, vector, floor in zip(asked["id"].to_numpy().tolist(), matrix(asked), floors, strict=True):
                 a, b = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
                 want = k + max(0, int(b - a) - 1)
-                found, score = index.search(vector, want, int(a) if b > a else -1) if index else (np.arange(len(ids)), np.zeros(len(ids), np.int64))
+                found, score = index.search(vector, want, int(a) if b > a else -1, floor) if index else (np.arange(len(ids)), np.zeros(len(ids), np.int64))
                 own = ids[found] == q
                 found, score = found[~own], score[~own]
                 best = np.lexsort((ids[found], -score))[:k]
@@ -113,6 +137,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id"
         return pa.Table.from_arrays(columns, ["query_id", "id", "score"])
 
     keys = ["dims", "qb", "cb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    search = lambda asked, there: asked.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(run, "query_id long, id long, score long")
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    first = search(left.withColumn("cb", home.cast("int")).withColumn("floor", F.lit(None).cast("long")), right.where(F.col("cb") == home))
+    if n_blocks > 1:
+        first = written(first)
+        floors = first.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        asked = left.join(floors, "id", "left").withColumn("cb", F.explode(others))
+        first = first.unionByName(search(asked, right.where(F.col("cb") != home)))
+    ranked = first.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
