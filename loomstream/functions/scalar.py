@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 ADDRESS = "^0x[0-9a-f]{40}$"
 EXACT_DOUBLE = 1 << 53
+#: Added and taken away again, they round a double to multiples of 2^-8 and 2^-40.
+GRIDS = (1.5 * 2.0**44, 1.5 * 2.0**12)
 
 
 def normalised_address(c: Column) -> Column:
@@ -61,5 +63,20 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def steady_sum(c: Column) -> Column:
+    """The sum of doubles, the same in whatever order rows come: equal sets of amounts tie exactly.
+
+    Each value is split into a multiple of 2^-8, one of 2^-40 and a rest.  Sums of the first two are exact while they
+    stay below 2^45 and 2^13; what the rest adds is below the last bit of the result.  Beyond, and for values that are
+    not finite, it is a plain sum.
+    """
+    x = c.cast("double")
+    parts = []
+    for grid in GRIDS:
+        parts.append((x + F.lit(grid)) - F.lit(grid))
+        x = F.nanvl(x - parts[-1], F.lit(0.0))
+    return F.sum(parts[0]) + (F.sum(parts[1]) + F.sum(x))
+
+
 def significant(value: float, digits: int = 10) -> float:
     return float(f"{value:.{digits}g}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstream.functions.quantiles import exact_quantiles
 from loomstream.functions.ranks import ntile_of, with_rank
-from loomstream.functions.scalar import day, share, week, weeks_between
+from loomstream.functions.scalar import day, share, steady_sum, week, weeks_between
 
 from .staging import qualifying, wallet_legs
 
@@ -16,7 +16,7 @@ METRICS = ["active_wallets", "transfer_count", "total_volume", "median_amount"]
 
 def _activity(staged: DataFrame, active: DataFrame, name: str, period: Column, quantiles: dict[str, float]) -> DataFrame:
     rows = qualifying(staged).select(period.alias(name), "amount")
-    tx = rows.groupBy(name).agg(F.count("*").alias("transfer_count"), F.sum("amount").alias("total_volume"))
+    tx = rows.groupBy(name).agg(F.count("*").alias("transfer_count"), steady_sum(F.col("amount")).alias("total_volume"))
     ranks = exact_quantiles(rows, [name], "amount", {"median_amount": 0.5, **quantiles}).drop("n")
     return tx.join(ranks, name, "left").join(active, name).select(name, "transfer_count", "active_wallets", "total_volume", "median_amount", *quantiles)
 

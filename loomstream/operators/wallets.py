@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstream.functions.scalar import day, week
+from loomstream.functions.scalar import day, steady_sum, week
 
 from .staging import qualifying
 
@@ -17,7 +17,7 @@ def first_seen(legs: DataFrame) -> DataFrame:
 
 def daily_activity(legs: DataFrame) -> DataFrame:
     rows = qualifying(legs).select("wallet_address", day(F.col("block_timestamp")).alias("activity_date"), "amount")
-    return rows.groupBy("wallet_address", "activity_date").agg(F.count("*").alias("event_count"), F.sum("amount").alias("gross_amount"))
+    return rows.groupBy("wallet_address", "activity_date").agg(F.count("*").alias("event_count"), steady_sum(F.col("amount")).alias("gross_amount"))
 
 
 def activity_weeks(daily: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def lifecycle(daily: DataFrame, first: DataFrame) -> DataFrame:
         F.max("activity_date").alias("last_active_date"),
         F.count("*").alias("active_days"),
         F.sum("event_count").alias("total_events"),
-        F.sum("gross_amount").alias("total_amount"),
+        steady_sum(F.col("gross_amount")).alias("total_amount"),
         F.avg("gap_days").alias("avg_days_between_active_days"),
     )
     return first.select("wallet_address", "first_seen_at", "first_seen_week").join(totals, "wallet_address")
