@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstream.session import materialise
+
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], *, accuracy: int = 10_000, small: int = 100_000) -> DataFrame:
     """keys (none: one row), `n`, and a double for each name in probs: the quantile of the group's values that are not
@@ -14,7 +16,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
 
     A sketch of bounded size brackets each quantile between two values that are 8 / accuracy of the rows apart.  What
     lies below a bracket is only counted; the values inside are counted by value, and the two neighbours are read off
-    their running count.  Groups of up to `small` rows are one bracket.
+    their running count.  Groups of up to `small` rows are one bracket.  A sketch depends on the order in which its
+    parts meet, so it is taken once and kept: what is counted below a bracket and inside must mean the same bracket.
     """
     names, p = list(probs), list(probs.values())
     margin = 4 / accuracy
@@ -23,7 +26,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", at, accuracy).alias("_b"))
     big = F.col("n") > small
     low, high = ([F.when(big, F.col("_b")[i + j * len(p)]).alias(f"_{side}{i}") for i in range(len(p))] for j, side in enumerate(("low", "high")))
-    sketch = sketch.select(*keys, "n", *low, *high)
+    sketch = materialise(sketch.select(*keys, "n", *low, *high))
     own = rows.join(sketch, list(keys)) if keys else rows.crossJoin(F.broadcast(sketch))
     below = own.groupBy(*keys).agg(F.first("n").alias("n"), *(F.count_if(F.col("_v") < F.col(f"_low{i}")).alias(f"_below{i}") for i in range(len(p))))
     inside = [F.coalesce(F.col("_v").between(F.col(f"_low{i}"), F.col(f"_high{i}")), F.lit(True)) for i in range(len(p))]

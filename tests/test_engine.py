@@ -275,3 +275,18 @@ def test_steady_sum(spark, values):
     there = [v for v in values if v is not None]
     want = None if not there else math.fsum(there) if all(map(math.isfinite, there)) else sum(there)
     assert got is want or (math.isnan(got) and math.isnan(want)) or got == want
+
+
+def test_quantiles_of_a_sketch_that_varies(spark, monkeypatch):
+    # A sketch depends on the order in which its parts meet; taken twice, it may bracket differently.
+    sketch = F.percentile_approx
+
+    def loose(b):
+        draw, half = random.SystemRandom(), len(b) // 2
+        return [x - draw.uniform(0, 300) for x in b[:half]] + [x + draw.uniform(0, 300) for x in b[half:]]
+
+    monkeypatch.setattr(F, "percentile_approx", lambda v, at, accuracy: F.udf(loose, "array<double>")(sketch(v, at, accuracy)))
+    frame = spark.range(4000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 4001).cast("double").alias("v"))
+    for k, got in {r["k"]: r for r in exact_quantiles(frame, ["k"], "v", {"a": 0.5, "b": 0.9}, small=100).collect()}.items():
+        values = [i * 7919 % 4001 for i in range(k, 4000, 2)]
+        assert got["a"] == pytest.approx(np.quantile(values, 0.5)) and got["b"] == pytest.approx(np.quantile(values, 0.9))
