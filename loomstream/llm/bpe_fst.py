@@ -11,8 +11,8 @@ Two deterministic machines read a text:
   count of tokens relative to now.  The encoding of a prefix ends in the one token that the encoding before it may
   precede (both together encode to just these two), so a transition is deterministic and carries the change of the
   token count as its output; a state carries the prefix's last token, from which the ids are read backwards.
-  Transitions are compiled when first met and kept for the life of the worker process; the number of states is
-  bounded by the vocabulary and not by the corpus.
+  Transitions are compiled when first met and kept until the worker process turns to another operator; the number
+  of states is bounded by the vocabulary and not by the corpus.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import unicodedata
 
 import numpy as np
 
-from .common import distinct
+from .common import ROOM, distinct
 
 # Code points with the Unicode property White_Space.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288]
@@ -273,10 +273,10 @@ class Transducer:
         self._put(state << 8 | byte, target << 8 | (delta + 128))
 
     def _put(self, key: int, value: int) -> None:
-        if self.filled * 5 > len(self.keys) * 2:
+        if self.filled * 2 > len(self.keys):
             old = self.keys >= 0
             keys, values = self.keys[old], self.values[old]
-            self.keys, self.values = np.full(len(self.keys) * 4, -1, np.int64), np.zeros(len(self.keys) * 4, np.int64)
+            self.keys, self.values = np.full(len(self.keys) * 2, -1, np.int64), np.zeros(len(self.keys) * 2, np.int64)
             left = np.arange(len(keys))
             slot = self._slot(keys)
             while len(left):  # of rows that meet in a free slot the last written one has it, the others go on
@@ -408,3 +408,6 @@ class Transducer:
 def transducer(path: str) -> Transducer:
     """One compiled transducer a worker process and vocabulary."""
     return Transducer(path)
+
+
+ROOM.append(transducer.cache_clear)

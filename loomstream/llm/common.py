@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +128,17 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[first]
 
 
+#: What forgets the tables that operators keep in a worker from task to task.
+ROOM: list[Callable[[], None]] = []
+
+
+def make_room() -> None:
+    """At the begin of a task that needs no other operator's tables: a worker serves all stages of a pipeline."""
+    for forget in ROOM:
+        forget()
+    release()
+
+
 def release() -> None:
     """Give freed memory back to the system: a worker process is used again by the tasks of later stages."""
     pa.default_memory_pool().release_unused()

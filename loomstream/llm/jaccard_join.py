@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import BROADCAST_ROWS, ascii_lower, buffers, checkpoint, distinct, release, select_as, slices
+from .common import BROADCAST_ROWS, ascii_lower, buffers, checkpoint, distinct, make_room, release, select_as, slices
 from .components import connected_components
 from .words import MIX, mixed, texts_apart, word_hashes
 
@@ -198,6 +198,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A row a text, and behind them a row for each shingle (32 bits of it) that recurs among the batch's texts.
+        make_room()
         names = ["doc_id", "n_shingles", "set_id", "text_hash", "shingle"]
         for batch in batches:
             offsets, raw = buffers(batch.column(1))
@@ -300,6 +301,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     regions = dealt.join(shingles, "set_id").repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "own")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         key, ids, owns, held = None, [], [], []
 
         def finish() -> pa.RecordBatch:

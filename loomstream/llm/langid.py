@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, select_as
+from .common import make_room, release, select_as, written
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Words whose scores a worker keeps; beyond it the memory is cleared.
+#: Words whose scores or counts a worker keeps; beyond it scores are forgotten and counts are sent on.
 KEPT_WORDS = 200_000
 
 
@@ -82,43 +82,83 @@ class WordScores:
         return self.table[out]
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most_rows: int = 4000, n: int = 4, backoff: float = -0.5, least: int = 2, check_rows: int = 0) -> WordScores | None:
-    """A classifier fitted on a sample of the labelled rows; None when there are none.
-
-    most_rows bounds the sample (in expectation: rows are chosen by a hash of their id, by which all are alike) and
-    with it the size of the model that every task is sent.  Words and n-grams seen fewer than `least` times are left
-    out.  Rows without text or language teach nothing; repeated rows count as often as they are there.
-
-    With `check_rows` the model's floor is fitted as well: half of what the least known hundredth of as many other
-    labelled rows has (of the same rows where there are no others).
-    """
-    rows = select_as(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL")
-    count = rows.count()
-    if not count:
-        return None
-    place_of, end = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)), int(min(1, most_rows / count) * (1 << 30))
-    others = rows.where((place_of >= end) & (place_of < end + int(min(1, check_rows / count) * (1 << 30))))
-    rows = rows.where(place_of < end)
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """lang, word, c of all rows' words that have a letter; a task's table is sent on when it is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def full() -> pa.RecordBatch:
+            found = [(lang, w, c) for lang, of_lang in words.items() for w, c in of_lang.items() if any(map(str.isalpha, w))]
+            words.clear()
+            langs, names, counts = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["lang", "word", "c"])
+
+        make_room()
         words: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        # The n-grams of a word that recurs are cut once.
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words.setdefault(lang, Counter()).update(WORD.findall(text.as_py().lower()))
+                if sum(map(len, words.values())) > KEPT_WORDS:
+                    yield full()
+        yield full()
+        release()
+
+    return rows.select("text", "lang").mapInArrow(run, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
+
+
+def _gram_counts(words: DataFrame, n: int) -> DataFrame:
+    """lang, n, gram, c: the n-grams of words, each word as often as it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def full() -> pa.RecordBatch:
+            langs, orders, keys = zip(*counts, strict=True) if counts else ((), (), ())
+            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "n", "gram", "c"])
+            counts.clear()
+            return out
+
+        make_room()
         counts: Counter = Counter()
-        for lang, of_lang in words.items():
-            for w, c in of_lang.items():
-                if any(map(str.isalpha, w)):
-                    counts[lang, 0, w] += c
-                    for m in range(1, n + 1):
-                        for g in grams(w, m):
-                            counts[lang, m, g] += c
-        langs, orders, keys = zip(*counts, strict=True) if counts else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "n", "gram", "c"])
-
-    counted = rows.select("text", "lang").mapInArrow(run, "lang string, n int, gram string, c long").groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    by_gram = counted.groupBy("n", "gram").agg(F.collect_list(F.struct("lang", "c")).alias("of"), F.sum("c").alias("all")).where(F.col("all") >= least)
+        for batch in batches:
+            for lang, w, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                for m in range(1, n + 1):
+                    for g in grams(w, m):
+                        counts[lang, m, g] += c
+                if len(counts) > KEPT_WORDS:
+                    yield full()
+        yield full()
+        release()
+
+    return words.select("lang", "word", "c").mapInArrow(run, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+
+
+def floor_of(scored: DataFrame, name: str = "known") -> float:
+    """The floor by scored texts: half of what the least known hundredth of them has, from exact counts of all by steps
+    of 1 / 10,000."""
+    steps = scored.groupBy(F.floor(F.col(f"`{name}`") * 10_000).alias("step")).agg(F.count("*").alias("c")).collect()
+    left = -(-sum(r["c"] for r in steps) // 100)
+    for r in sorted(steps, key=lambda r: r["step"]):
+        left -= r["c"]
+        if left <= 0:
+            return r["step"] / 20_000
+    return 0.0
+
+
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", n: int = 4, backoff: float = -0.5, least: int = 2, rare: float = 1e-6, check_rows: int = 0) -> WordScores | None:
+    """A classifier fitted on all labelled rows; None when there are none.
+
+    Words are counted over all rows, and n-grams over all words.  Every task is sent the model, so it has entries of
+    its own only for words and n-grams seen at least `least` times and once in 1 / rare running words, which are 1 / rare
+    words at most; a rarer word is scored through its n-grams, whose counts it is part of, and a rarer n-gram through
+    shorter ones.  Rows without text or language teach nothing; repeated rows count as often as they are there.
+
+    With `check_rows` the model's floor is fitted as well, on about so many of the rows, see floor_of.
+    """
+    rows = select_as(labelled, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL")
+    words = written(_word_counts(rows))
+    bar = max(least, rare * (words.agg(F.sum("c")).first()[0] or 0))
+    counted = words.select("lang", F.lit(0).alias("n"), F.col("word").alias("gram"), "c").unionByName(_gram_counts(words, n))
+    # Single characters are few; they are what all else falls back to.
+    enough = F.col("all") >= F.when(F.col("n") == 1, F.lit(float(least))).otherwise(F.lit(float(bar)))
+    by_gram = counted.groupBy("n", "gram").agg(F.collect_list(F.struct("lang", "c")).alias("of"), F.sum("c").alias("all")).where(enough)
     table = by_gram.select("n", "gram", "of").toArrow()
     langs = sorted({x["lang"] for of in table["of"].to_pylist() for x in of})
     if not langs:
@@ -136,8 +176,8 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         tables.append(({name: i for i, name in enumerate(names)}, np.log(c / c.sum(0))))
     model = WordScores(langs, tables, backoff)
     if check_rows:
-        known = predict(others if count > most_rows else rows, model).agg(F.percentile_approx("known", 0.01, 1000)).first()[0]
-        model.floor = (known or 0.0) / 2
+        share = min(1, check_rows / rows.count())
+        model.floor = floor_of(predict(rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language floor")), F.lit(1 << 30)) < int(share * (1 << 30))), model))
     return model
 
 
@@ -158,6 +198,7 @@ def predict(docs: DataFrame, model: WordScores | None, *, text_col: str = "text"
     shared = sc.broadcast((model.langs, model.tables, model.backoff)) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         scores = WordScores(*shared.value) if shared else None
         for batch in batches:
             langs, values, shares = [], [], []
@@ -178,6 +219,7 @@ def predict(docs: DataFrame, model: WordScores | None, *, text_col: str = "text"
                 values.append(float(1 / np.exp(total[:-2] - total[best]).sum()) if best >= 0 else 0.0)
                 shares.append(float(total[-1] / total[-2]) if best >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(values, pa.float64()), pa.array(shares, pa.float64())], [*own, *names])
+        scores = None
         release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_fst import default_tokenizer_path, transducer
-from .common import buffers, checkpoint, release, select_as, slices
+from .common import buffers, checkpoint, make_room, release, select_as, slices
+
+#: Bytes of text that are encoded at once: a step needs some 50 times as much.
+STEP = 1 << 18
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, tokenizer_path: str | None = None) -> DataFrame:
@@ -29,7 +32,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
             offsets, raw = buffers(batch.column(1))
             rows: list[int] = []
             out: list[list[int]] = [[], [], [], []]
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, STEP):
                 at, ids = machine.encode(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]])
                 for k in range(i, j):
                     own = np.append(ids[at[k - i] : at[k - i + 1]], np.uint32(end_id)).astype("<u4")
@@ -198,6 +201,7 @@ def best_fit_pack(items: DataFrame, *, capacity: int = 2048, group_rows: int = 5
 
     def pack(level: int):
         def run(table: pa.Table) -> pa.Table:
+            make_room()
             number, offset = pack_lengths(table["length"].to_numpy(), capacity)
             fills = np.bincount(number, table["length"].to_numpy()).astype(np.int64)
             group = table["_group"].to_numpy().astype(np.int64)

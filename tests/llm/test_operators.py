@@ -306,6 +306,20 @@ def test_langid(spark, docs, empty):
     assert langid.train(empty) is None and {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_langid_learns_from_all_rows(spark):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    frame = spark.createDataFrame([(i, f"{name(i)} {name(i)} the", "ab"[i % 2]) for i in range(6000)], "doc_id long, text string, lang string")
+    model = langid.train(frame)
+    index, values = model.tables[0]
+    assert set(index) == {"the", *map(name, range(6000))}
+    assert np.allclose(np.exp(values[index["the"]]), 3000.1 / (3 * 3000 + 0.1 * 6001))
+    # Rarer words are left to their n-grams, in which they are counted all the same.
+    rare = langid.train(frame, rare=0.01)
+    assert set(rare.tables[0][0]) == {"the"} and rare.tables[1][0].keys() == {*"abcdefghij the"}
+    known = spark.range(1000).select((F.col("id") * 37 % 1000 / 1000).alias("known"))
+    assert langid.floor_of(known) == 0.009 / 2 and langid.floor_of(known.limit(0)) == 0.0
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(300)]
