@@ -110,19 +110,22 @@ def _gram_counts(words: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def full() -> pa.RecordBatch:
-            langs, orders, keys = zip(*counts, strict=True) if counts else ((), (), ())
-            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "n", "gram", "c"])
+            found = [(lang, len(g), g, c) for lang, of_lang in counts.items() for g, c in of_lang.items()]
             counts.clear()
-            return out
+            langs, orders, keys, each = zip(*found, strict=True) if found else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(orders, pa.int32()), pa.array(keys, pa.string()), pa.array(each, pa.int64())], ["lang", "n", "gram", "c"])
 
         make_room()
-        counts: Counter = Counter()
+        counts: dict[str, dict[str, int]] = {}
         for batch in batches:
-            for lang, w, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for k, (lang, w, c) in enumerate(zip(*(x.to_pylist() for x in batch.columns), strict=True)):
+                of_lang = counts.setdefault(lang, {})
+                padded = f" {w} "
                 for m in range(1, n + 1):
-                    for g in grams(w, m):
-                        counts[lang, m, g] += c
-                if len(counts) > KEPT_WORDS:
+                    for i in range(len(padded) - m + 1):
+                        g = padded[i : i + m]
+                        of_lang[g] = of_lang.get(g, 0) + c
+                if (k % 100 == 0 or len(w) > 1000) and sum(map(len, counts.values())) > KEPT_WORDS:
                     yield full()
         yield full()
         release()
